@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from trovex.llm.bpe_prefix import op7_prefix_bpe
+from trovex.llm.minhash_circulant import op10_circulant_minhash
+from trovex.llm.mix_pivotal import op2_pivotal_mix
 from trovex.llm.quality_suffix import op1_suffix_repetition
 
 SQL: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable]:
-    found = (op1_suffix_repetition, op7_prefix_bpe)
+    found = (op1_suffix_repetition, op2_pivotal_mix, op7_prefix_bpe, op10_circulant_minhash)
     return {f.__name__: f for f in found}
 
 
