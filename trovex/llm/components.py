@@ -18,10 +18,10 @@ def components(edges: DataFrame) -> DataFrame:
     both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("n")).agg(F.min("label").alias("near"))
-        hop = labels.join(near, labels["node"] == near["n"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = both.join(labels.hint("merge"), both["b"] == labels["node"]).groupBy(F.col("a").alias("n")).agg(F.min("label").alias("near"))
+        hop = labels.join(near.hint("merge"), labels["node"] == near["n"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("node").alias("parent"), F.col("label").alias("grand"))
-        jumped = hop.join(up, hop["label"] == up["parent"], "left").select("node", "old", F.least("label", F.coalesce("grand", "label")).alias("label"))
+        jumped = hop.join(up.hint("merge"), hop["label"] == up["parent"], "left").select("node", "old", F.least("label", F.coalesce("grand", "label")).alias("label"))
         jumped = materialize(jumped)
         labels = jumped.select("node", "label")
         if jumped.where(F.col("label") != F.col("old")).limit(1).count() == 0:

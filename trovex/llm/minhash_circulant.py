@@ -6,9 +6,12 @@ shift; coordinate k is the least value under shift k. Bands of coordinates are t
 
 Equal sets fall into one class first, so copies never pair with each other. In each bucket all classes are held against
 its smallest one; verified links join classes into components. Only where a bucket then still spans several components
-are its other pairs formed, between components alone and where the distances to the smallest class allow a link (the
-Jaccard distance is a metric). So all links between components that banding offers are confirmed on full sets, while a
-group of thousands of near copies costs a pair for each member, not for each two.
+are its other pairs formed, between components alone and where two exact bounds allow a link: the distances to the smallest
+class (the Jaccard distance is a metric), and the shingles that no other open class has, which no intersection can hold.
+So all links between components that banding offers are confirmed on full sets, while a group of thousands of near
+copies costs a pair for each member, not for each two.
+
+The joins are sort-merge joins at every size: nothing is broadcast that grows with the data.
 
 Defined results: a null, empty or blank text has an empty set and is linked with nothing; a text with fewer words than
 a shingle has its whole sequence as its one shingle; rows that share a doc_id are one node; a row without doc_id joins
@@ -130,7 +133,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
                 shingle, first = shingle_sets(part.column(1), n)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(shingle.view(np.int64)))], names=["node", "set"])
 
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes.hint("merge"), F.col("doc_id") == F.col("node"), "left_semi")
     return materialize(wanted.mapInArrow(run, "node long, set array<long>"))
 
 
@@ -138,7 +141,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``pairs`` (a, b) with inter and union of their full sets, and whether they are linked."""
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
-    both = pairs.join(right, "b").join(left, "a")
+    both = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a")
     both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("inter"), (F.size("sa") + F.size("sb")).cast("long").alias("total"))
     return both.select("a", "b", "inter", (F.col("total") - F.col("inter")).alias("union"), (100 * F.col("inter") >= percent * (F.col("total") - F.col("inter"))).alias("linked"))
 
@@ -154,38 +157,44 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     bucket = materialize(rooted.select("node", "n", F.explode("bands").alias("key")))
     shared = bucket.groupBy("key").agg(F.min(F.struct("node", "n")).alias("least"), F.count("*").alias("members")).where("members > 1")
     shared = shared.select("key", F.col("least.node").alias("leader"), F.col("least.n").alias("leader_n"))
-    star = materialize(bucket.join(shared, "key").where("node != leader"))
+    star = materialize(bucket.join(shared.hint("merge"), "key").where("node != leader"))
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     pairs = materialize(star.where(fits(F.col("n"), F.col("leader_n"))).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    first = materialize(_verify(pairs, _sets_of(docs, nodes, shingle_words), percent))
+    nodes = star.select(F.col("leader").alias("node")).unionByName(star.select("node")).distinct()
+    sets = _sets_of(docs, nodes, shingle_words)
+    first = materialize(_verify(pairs, sets, percent))
     edges = first.where("linked").select("a", "b")
     labels = components(edges)
 
     # Buckets that still span several components: their other pairs, between components only.
-    labelled = star.join(labels.withColumnRenamed("label", "of_node"), "node", "left").withColumn("of_node", F.coalesce("of_node", "node"))
+    labelled = star.join(labels.withColumnRenamed("label", "of_node").hint("merge"), "node", "left").withColumn("of_node", F.coalesce("of_node", "node"))
     lead = labels.select(F.col("node").alias("leader"), F.col("label").alias("of_leader"))
-    labelled = labelled.join(lead, "leader", "left").withColumn("of_leader", F.coalesce("of_leader", "leader"))
+    labelled = labelled.join(lead.hint("merge"), "leader", "left").withColumn("of_leader", F.coalesce("of_leader", "leader"))
     far = first.select(F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("inter") / F.col("union")).alias("distance"))
-    labelled = labelled.join(far, ["leader", "node"], "left").select("key", "node", "n", "of_node", "of_leader", "distance")
+    labelled = labelled.join(far.hint("merge"), ["leader", "node"], "left").select("key", "node", "n", "of_node", "of_leader", "distance")
     labelled = materialize(labelled)
     spread = labelled.groupBy("key").agg(F.min("of_node").alias("lo"), F.max("of_node").alias("hi")).where("lo != hi").select("key")
-    open_rows = materialize(labelled.join(spread, "key", "left_semi"))
-    x = open_rows.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("of_node").alias("ca"), F.col("distance").alias("da"))
-    y = open_rows.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("of_node").alias("cb"), F.col("distance").alias("db"))
+    open_rows = materialize(labelled.join(spread.hint("merge"), "key", "left_semi"))
+    members = sets.join(open_rows.select("node").distinct().hint("merge"), "node", "left_semi").select("node", F.explode("set").alias("shingle"))
+    alone = members.groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("holders")).where("holders = 1")
+    alone = alone.groupBy("node").agg(F.count("*").alias("alone"))
+    open_rows = materialize(open_rows.join(alone.hint("merge"), "node", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))))
+    x = open_rows.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("of_node").alias("ca"), F.col("distance").alias("da"), F.col("shared").alias("qa"))
+    y = open_rows.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("of_node").alias("cb"), F.col("distance").alias("db"), F.col("shared").alias("qb"))
     most = 1 - percent / 100 + 1e-9
     apart = F.coalesce(F.abs(F.col("da") - F.col("db")) <= most, F.lit(True))
-    more = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb")) & apart)
-    more = materialize(more.select("a", "b").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"))
-    nodes = more.select(F.col("a").alias("node")).unionByName(more.select(F.col("b").alias("node"))).distinct()
+    common = F.least("qa", "qb")
+    enough = 100 * common >= percent * (F.col("na") + F.col("nb") - common)
+    more = x.join(y.hint("merge"), (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb")) & apart & enough)
+    more = materialize(more.select("a", "b").distinct().join(first.select("a", "b").hint("merge"), ["a", "b"], "left_anti"))
     if more.limit(1).count():
-        second = _verify(more, _sets_of(docs, nodes, shingle_words), percent).where("linked").select("a", "b")
+        second = _verify(more, sets, percent).where("linked").select("a", "b")
         second = materialize(second)
         if second.limit(1).count():
             labels = components(edges.unionByName(second))
 
-    named = classes.join(labels, "node", "left").select("set_a", "set_b", F.coalesce("label", "node").alias("class_component"))
-    found = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
+    named = classes.join(labels.hint("merge"), "node", "left").select("set_a", "set_b", F.coalesce("label", "node").alias("class_component"))
+    found = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(named.hint("merge"), ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("class_component")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
