@@ -93,14 +93,15 @@ class Words:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), self.count)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
+    def hashes(self, most: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each word's bytes (the first ``most``, if given)."""
         n = len(self.data)
         if not len(self.start):
             return np.zeros(0, np.uint64)
         acc = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[self.data] * _power(_P, n), out=acc[1:])
-        return mix((acc[self.end] - acc[self.start]) * _power(_P_INV, n)[self.start])
+        end = self.end if most is None else np.minimum(self.end, self.start + most)
+        return mix((acc[end] - acc[self.start]) * _power(_P_INV, n)[self.start])
 
 
 def words(col: pa.Array, lower: bool = False) -> Words:
