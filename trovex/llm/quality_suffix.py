@@ -131,18 +131,18 @@ def measure(col: pa.Array, min_repeat: int, max_covered: float, max_longest: int
     }
 
 
-def suffix_repetition(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``carry`` columns of ``docs`` plus the measures and verdict of each row's ``text``. One pass, no shuffle."""
+def suffix_repetition(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST, carry: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
+    """``carry`` columns of ``docs`` plus the measures and verdict of each row's ``text``, their names after ``prefix``. One pass, no shuffle."""
     ship(docs.sparkSession)
     fields = [f for f in docs.schema.fields if f.name in carry]
-    extra = [x.strip() for x in FIELDS.split(",") if x.strip().split(" ")[0] not in carry]
+    extra = [prefix + x.strip() for x in FIELDS.split(",")[1:]]
     source = docs.select(*[f"`{f.name}`" for f in fields], *([] if "text" in carry else ["text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tk.chunks(batch, "text"):
                 out = {f.name: part.column(part.schema.get_field_index(f.name)) for f in fields}
-                out |= {k: pa.array(v) for k, v in measure(part.column(part.schema.get_field_index("text")), min_repeat, max_covered, max_longest).items()}
+                out |= {prefix + k: pa.array(v) for k, v in measure(part.column(part.schema.get_field_index("text")), min_repeat, max_covered, max_longest).items()}
                 yield pa.RecordBatch.from_pydict(out)
 
     import pyspark.sql.types as T
