@@ -24,7 +24,7 @@ def flatten_text(items: Column) -> Column:
 
 
 def split_bullets(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def nonempty(c: Column) -> Column:

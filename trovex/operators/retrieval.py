@@ -59,7 +59,7 @@ def dense(queries: DataFrame, docs: DataFrame) -> DataFrame:
 def ranked(scores: DataFrame, k: int | None = None, places: int = 4) -> DataFrame:
     """Ranks by score, rounded so that equal scores tie, then doc_id; with ``k`` Spark cuts each partition's rows early."""
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
-    out = scores.withColumn("score", F.round("score", places)).withColumn("rank", F.row_number().over(by))
+    out = scores.withColumn("score", F.round("score", places) + F.lit(0.0)).withColumn("rank", F.row_number().over(by))
     return out if k is None else out.where(F.col("rank") <= k)
 
 

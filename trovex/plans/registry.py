@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from trovex.plans import queries as q
+
 
 def queries() -> dict:
-    return {}
+    return dict(q.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(q.ORACLES)
