@@ -50,8 +50,8 @@ class Pieces:
         hashes = np.array([_hash_one(t) for t in text], np.uint64)
         order = np.argsort(hashes)
         self.sorted, self.order = hashes[order], order
-        # 65536 shortcuts into the sorted hashes
-        self.shelf = np.searchsorted(self.sorted, np.arange(65537, dtype=np.uint64) << np.uint64(47))
+        if (self.sorted[1:] == self.sorted[:-1]).any():
+            raise ValueError("two pieces share a hash")
 
     @classmethod
     def load(cls, path: str) -> "Pieces":
@@ -90,7 +90,7 @@ def _hash_one(t: bytes) -> int:
     h = 0
     for b in t:
         h = (h * int(_MULT) + b + 1) & 0xFFFFFFFFFFFFFFFF
-    return h >> 1
+    return h
 
 
 def _arcs(b: np.ndarray, pieces: Pieces) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
@@ -101,7 +101,7 @@ def _arcs(b: np.ndarray, pieces: Pieces) -> list[list[tuple[int, np.ndarray, np.
         h = np.zeros(n, np.uint64)
         for stop in range(start + 1, min(size, start + pieces.longest) + 1):
             h = h * _MULT + b[:, stop - 1] + np.uint64(1)
-            piece = pieces.find(h >> np.uint64(1))
+            piece = pieces.find(h)
             rows = np.flatnonzero(piece >= 0)
             if len(rows):
                 out[stop].append((start, rows, piece[rows]))
