@@ -7,7 +7,7 @@ shift; coordinate k is the least value under shift k. Bands of coordinates are t
 Equal sets fall into one class first, so copies never pair with each other. In each bucket all classes are held against
 its smallest one; verified links join classes into components. Only where a bucket then still spans several components
 are its other pairs formed, between components alone and where two exact bounds allow a link: the distances to the smallest
-class (the Jaccard distance is a metric), and the shingles that no other open class has, which no intersection can hold.
+class (the Jaccard distance is a metric), and the shingles that no other component has, which no intersection can hold.
 So all links between components that banding offers are confirmed on full sets, while a group of thousands of near
 copies costs a pair for each member, not for each two.
 
@@ -175,9 +175,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     labelled = materialize(labelled)
     spread = labelled.groupBy("key").agg(F.min("of_node").alias("lo"), F.max("of_node").alias("hi")).where("lo != hi").select("key")
     open_rows = materialize(labelled.join(spread.hint("merge"), "key", "left_semi"))
-    members = sets.join(open_rows.select("node").distinct().hint("merge"), "node", "left_semi").select("node", F.explode("set").alias("shingle"))
-    alone = members.groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("holders")).where("holders = 1")
-    alone = alone.groupBy("node").agg(F.count("*").alias("alone"))
+    # a shingle that only one component holds is in no intersection across components
+    own = open_rows.select("node", "of_node").distinct()
+    members = sets.join(own.hint("merge"), "node").select("node", "of_node", F.explode("set").alias("shingle"))
+    inner = members.groupBy("shingle").agg(F.min("of_node").alias("lo"), F.max("of_node").alias("hi")).where("lo = hi").select("shingle")
+    alone = members.join(inner.hint("merge"), "shingle").groupBy("node").agg(F.count("*").alias("alone"))
     open_rows = materialize(open_rows.join(alone.hint("merge"), "node", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))))
     x = open_rows.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("of_node").alias("ca"), F.col("distance").alias("da"), F.col("shared").alias("qa"))
     y = open_rows.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("of_node").alias("cb"), F.col("distance").alias("db"), F.col("shared").alias("qb"))
