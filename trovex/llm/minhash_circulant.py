@@ -5,11 +5,12 @@ first sends a shingle to a place of a circle, the second, read from that place o
 shift; coordinate k is the least value under shift k. Bands of coordinates are the bucket keys.
 
 Equal sets fall into one class first, so copies never pair with each other. In each bucket all classes are held against
-its smallest one; verified links join classes into components. Only where a bucket then still spans several components
-are its other pairs formed, between components alone and where two exact bounds allow a link: the distances to the smallest
-class (the Jaccard distance is a metric), and the shingles that no other component has, which no intersection can hold.
-So all links between components that banding offers are confirmed on full sets, while a group of thousands of near
-copies costs a pair for each member, not for each two.
+the one that shares most bucket places with others, its leader; verified links join classes into components. Only where
+a bucket then still spans several components are its other pairs formed, between components alone and where an exact
+bound allows a link: what two classes have in common lies in their leader (and in both intersections with it, which are
+known) or outside it, among the shingles that another component holds too. So all links between components that
+banding offers are confirmed on full sets, while a group of thousands of near copies costs a pair for each member, not
+for each two.
 
 The joins are sort-merge joins at every size: nothing is broadcast that grows with the data.
 
@@ -155,9 +156,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     classes = materialize(classes)
     rooted = classes.where("node is not null")
     bucket = materialize(rooted.select("node", "n", F.explode("bands").alias("key")))
-    shared = bucket.groupBy("key").agg(F.min(F.struct("node", "n")).alias("least"), F.count("*").alias("members")).where("members > 1")
-    shared = shared.select("key", F.col("least.node").alias("leader"), F.col("least.n").alias("leader_n"))
-    star = materialize(bucket.join(shared.hint("merge"), "key").where("node != leader"))
+    shared = bucket.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    crowd = materialize(bucket.join(shared.hint("merge"), "key"))
+    # the class that shares its buckets with most others is the likeliest to be linked with all of them
+    central = crowd.groupBy("node").agg(F.sum("members").alias("central"))
+    leaders = crowd.join(central.hint("merge"), "node").groupBy("key").agg(F.max(F.struct("central", -F.col("node"), "node", "n")).alias("top"))
+    leaders = leaders.select("key", F.col("top.node").alias("leader"), F.col("top.n").alias("leader_n"))
+    star = materialize(crowd.drop("members").join(leaders.hint("merge"), "key").where("node != leader"))
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     pairs = materialize(star.where(fits(F.col("n"), F.col("leader_n"))).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
     nodes = star.select(F.col("leader").alias("node")).unionByName(star.select("node")).distinct()
@@ -170,24 +175,27 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     labelled = star.join(labels.withColumnRenamed("label", "of_node").hint("merge"), "node", "left").withColumn("of_node", F.coalesce("of_node", "node"))
     lead = labels.select(F.col("node").alias("leader"), F.col("label").alias("of_leader"))
     labelled = labelled.join(lead.hint("merge"), "leader", "left").withColumn("of_leader", F.coalesce("of_leader", "leader"))
-    far = first.select(F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("inter") / F.col("union")).alias("distance"))
-    labelled = labelled.join(far.hint("merge"), ["leader", "node"], "left").select("key", "node", "n", "of_node", "of_leader", "distance")
+    held = first.select(F.col("a").alias("leader"), F.col("b").alias("node"), "inter")
+    labelled = labelled.join(held.hint("merge"), ["leader", "node"], "left").select("key", "node", "n", "of_node", "leader", "of_leader", "inter")
     labelled = materialize(labelled)
     spread = labelled.groupBy("key").agg(F.min("of_node").alias("lo"), F.max("of_node").alias("hi")).where("lo != hi").select("key")
     open_rows = materialize(labelled.join(spread.hint("merge"), "key", "left_semi"))
     # a shingle that only one component holds is in no intersection across components
-    own = open_rows.select("node", "of_node").distinct()
+    own = open_rows.select("node", "of_node").unionByName(open_rows.select(F.col("leader").alias("node"), F.col("of_leader").alias("of_node"))).distinct()
     members = sets.join(own.hint("merge"), "node").select("node", "of_node", F.explode("set").alias("shingle"))
     inner = members.groupBy("shingle").agg(F.min("of_node").alias("lo"), F.max("of_node").alias("hi")).where("lo = hi").select("shingle")
-    alone = members.join(inner.hint("merge"), "shingle").groupBy("node").agg(F.count("*").alias("alone"))
-    open_rows = materialize(open_rows.join(alone.hint("merge"), "node", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))))
-    x = open_rows.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("of_node").alias("ca"), F.col("distance").alias("da"), F.col("shared").alias("qa"))
-    y = open_rows.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("of_node").alias("cb"), F.col("distance").alias("db"), F.col("shared").alias("qb"))
-    most = 1 - percent / 100 + 1e-9
-    apart = F.coalesce(F.abs(F.col("da") - F.col("db")) <= most, F.lit(True))
-    common = F.least("qa", "qb")
+    alone = materialize(members.join(inner.hint("merge"), "shingle").groupBy("node").agg(F.count("*").alias("alone")))
+    of_lead = alone.select(F.col("node").alias("leader"), F.col("alone").alias("lead_alone"))
+    open_rows = open_rows.join(alone.hint("merge"), "node", "left").join(of_lead.hint("merge"), "leader", "left")
+    alone_out = F.coalesce("alone", F.lit(0)) - F.when(F.col("of_node") == F.col("of_leader"), F.coalesce("lead_alone", F.lit(0))).otherwise(0)
+    shared, outside = F.col("n") - F.coalesce("alone", F.lit(0)), F.col("n") - F.col("inter") - F.greatest(F.lit(0), alone_out)
+    open_rows = materialize(open_rows.select("key", "node", "n", "of_node", "inter", shared.alias("shared"), outside.alias("outside")))
+    x = open_rows.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("of_node").alias("ca"), F.col("shared").alias("qa"), F.col("inter").alias("ia"), F.col("outside").alias("ra"))
+    y = open_rows.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("of_node").alias("cb"), F.col("shared").alias("qb"), F.col("inter").alias("ib"), F.col("outside").alias("rb"))
+    # what two classes have in common lies in their leader, in both parts of it, or outside, in both rests that other components hold too
+    common = F.least("qa", "qb", F.least("ia", "ib") + F.least("ra", "rb"))
     enough = 100 * common >= percent * (F.col("na") + F.col("nb") - common)
-    more = x.join(y.hint("merge"), (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb")) & apart & enough)
+    more = x.join(y.hint("merge"), (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb")) & enough)
     more = materialize(more.select("a", "b").distinct().join(first.select("a", "b").hint("merge"), ["a", "b"], "left_anti"))
     if more.limit(1).count():
         second = _verify(more, sets, percent).where("linked").select("a", "b")
