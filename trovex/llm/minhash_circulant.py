@@ -7,8 +7,8 @@ shift; coordinate k is the least value under shift k. Bands of coordinates are t
 Equal sets fall into one class first, so copies never pair with each other. In each bucket all classes are held against
 the one that shares most bucket places with others, its leader; verified links join classes into components. Only where
 a bucket then still spans several components are its other pairs formed, between components alone and where an exact
-bound allows a link: what two classes have in common lies in their leader (and in both intersections with it, which are
-known) or outside it, among the shingles that another component holds too. So all links between components that
+bound allows a link: what two classes have in common lies in their leader (less what a mask shows that either
+lacks of it) or outside it, among the shingles that another component holds too. So all links between components that
 banding offers are confirmed on full sets, while a group of thousands of near copies costs a pair for each member, not
 for each two.
 
@@ -22,10 +22,12 @@ its group and never names it; equal rows have equal results; an empty table give
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +38,8 @@ from trovex.llm.runtime import materialize, ship, table
 ROWS = 4
 BANDS = 25
 CIRCLE = 1 << 19
+MASK = 4
+LACKS = [f"lacks_{k}" for k in range(MASK)]
 _values: dict[tuple[int, int], np.ndarray] = {}
 
 
@@ -138,13 +142,21 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     return materialize(wanted.mapInArrow(run, "node long, set array<long>"))
 
 
+def _bits(shingles: Column, word: int) -> Column:
+    """Word ``word`` of a mask of 64 * MASK bits with a bit for each of ``shingles``; its bits are never more than they are."""
+    one = lambda h: F.call_function("shiftleft", F.expr("1L"), h.bitwiseAND(F.lit(63)).cast("int"))
+    mine = lambda h: F.pmod(F.shiftrightunsigned(h, 6), F.lit(MASK)) == word
+    return F.aggregate(F.filter(shingles, mine), F.expr("0L"), lambda acc, h: acc.bitwiseOR(one(h)))
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (a, b) with inter and union of their full sets, and whether they are linked."""
+    """``pairs`` (a, b) with inter and union of their full sets, a mask of what b lacks of a, and whether they are linked."""
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
     both = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a")
-    both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("inter"), (F.size("sa") + F.size("sb")).cast("long").alias("total"))
-    return both.select("a", "b", "inter", (F.col("total") - F.col("inter")).alias("union"), (100 * F.col("inter") >= percent * (F.col("total") - F.col("inter"))).alias("linked"))
+    lacks = [_bits(F.array_except("sa", "sb"), k).alias(f"lacks_{k}") for k in range(MASK)]
+    both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("inter"), (F.size("sa") + F.size("sb")).cast("long").alias("total"), *lacks)
+    return both.select("a", "b", "inter", *LACKS, (F.col("total") - F.col("inter")).alias("union"), (100 * F.col("inter") >= percent * (F.col("total") - F.col("inter"))).alias("linked"))
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -175,8 +187,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     labelled = star.join(labels.withColumnRenamed("label", "of_node").hint("merge"), "node", "left").withColumn("of_node", F.coalesce("of_node", "node"))
     lead = labels.select(F.col("node").alias("leader"), F.col("label").alias("of_leader"))
     labelled = labelled.join(lead.hint("merge"), "leader", "left").withColumn("of_leader", F.coalesce("of_leader", "leader"))
-    held = first.select(F.col("a").alias("leader"), F.col("b").alias("node"), "inter")
-    labelled = labelled.join(held.hint("merge"), ["leader", "node"], "left").select("key", "node", "n", "of_node", "leader", "of_leader", "inter")
+    held = first.select(F.col("a").alias("leader"), F.col("b").alias("node"), "inter", *LACKS)
+    labelled = labelled.join(held.hint("merge"), ["leader", "node"], "left").select("key", "node", "n", "of_node", "leader", "leader_n", "of_leader", "inter", *LACKS)
     labelled = materialize(labelled)
     spread = labelled.groupBy("key").agg(F.min("of_node").alias("lo"), F.max("of_node").alias("hi")).where("lo != hi").select("key")
     open_rows = materialize(labelled.join(spread.hint("merge"), "key", "left_semi"))
@@ -189,11 +201,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     open_rows = open_rows.join(alone.hint("merge"), "node", "left").join(of_lead.hint("merge"), "leader", "left")
     alone_out = F.coalesce("alone", F.lit(0)) - F.when(F.col("of_node") == F.col("of_leader"), F.coalesce("lead_alone", F.lit(0))).otherwise(0)
     shared, outside = F.col("n") - F.coalesce("alone", F.lit(0)), F.col("n") - F.col("inter") - F.greatest(F.lit(0), alone_out)
-    open_rows = materialize(open_rows.select("key", "node", "n", "of_node", "inter", shared.alias("shared"), outside.alias("outside")))
-    x = open_rows.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("of_node").alias("ca"), F.col("shared").alias("qa"), F.col("inter").alias("ia"), F.col("outside").alias("ra"))
-    y = open_rows.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("of_node").alias("cb"), F.col("shared").alias("qb"), F.col("inter").alias("ib"), F.col("outside").alias("rb"))
-    # what two classes have in common lies in their leader, in both parts of it, or outside, in both rests that other components hold too
-    common = F.least("qa", "qb", F.least("ia", "ib") + F.least("ra", "rb"))
+    open_rows = materialize(open_rows.select("key", "node", "n", "of_node", "leader_n", "inter", *LACKS, shared.alias("shared"), outside.alias("outside")))
+    x = open_rows.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("of_node").alias("ca"), F.col("shared").alias("qa"), F.col("inter").alias("ia"), F.col("outside").alias("ra"), *[F.col(c).alias(f"{c}_a") for c in LACKS], "leader_n")
+    y = open_rows.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("of_node").alias("cb"), F.col("shared").alias("qb"), F.col("inter").alias("ib"), F.col("outside").alias("rb"), *[F.col(c).alias(f"{c}_b") for c in LACKS])
+    # what two classes have in common lies in their leader, less what either lacks of it, or in both rests outside that other components hold too
+    lacked = reduce(add, [F.bit_count(F.col(f"{c}_a").bitwiseOR(F.col(f"{c}_b"))) for c in LACKS])
+    common = F.least("qa", "qb", F.least("ia", "ib", F.col("leader_n") - lacked) + F.least("ra", "rb"))
     enough = 100 * common >= percent * (F.col("na") + F.col("nb") - common)
     more = x.join(y.hint("merge"), (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb")) & enough)
     more = materialize(more.select("a", "b").distinct().join(first.select("a", "b").hint("merge"), ["a", "b"], "left_anti"))
