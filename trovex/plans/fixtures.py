@@ -19,7 +19,7 @@ PAIRS = """select row_number() over (order by l_orderkey, l_linenumber, l_partke
  case when l_orderkey % 13 = 0 then '' else concat('title ', cast(l_orderkey % 500 as STR)) end as patent_title,
  case l_returnflag when 'A' then 'Active' when 'R' then 'Inactive' else 'Expired' end as legal_status,
  l_quantity > 10 as has_abstract, l_quantity > 25 as has_images
- from lineitem where l_orderkey <= 3000"""
+ from lineitem"""
 CLAIMS = """select conv_id, turn * 2 as ord, cast(floor(turn / 2.0) as int) as claim_number, text from conversations
  union all select conv_id, turn * 2 + 1 as ord, cast(floor(turn / 2.0) as int) as claim_number, substring(text, 1, 40) as text
  from conversations where turn % 2 = 0"""
