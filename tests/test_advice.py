@@ -1,5 +1,6 @@
 """Cuts found by review: each case fails where part of the job is left out."""
 
+from trovex.llm import line_join
 from trovex.plans import registry
 
 
@@ -12,3 +13,16 @@ def test_pairs_read_the_whole_table(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/lineitem.parquet")
     assert registry.queries()["patent_id"](spark, str(tmp_path)).count() == len(ids)
     assert registry.queries()["pair_stats"](spark, str(tmp_path)).first().n_rows == len(ids)
+
+
+def test_line_links_count_every_similar_class(spark):
+    base = [f"w{i}" for i in range(20)]
+    near = [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(5)]  # 18 of 22 words in common: all alike
+    texts = [*near, near[2], "something else\nwholly", " \n", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in line_join.line_links(docs, cell_bits=10, place_bits=10).collect()}
+    assert sorted(got) == list(range(9))
+    assert [got[i].links for i in range(9)] == ["4"] * 6 + ["0,0", "", ""]
+    assert [got[i].classes for i in range(9)] == ["0:0", "1:0", "2:0", "3:0", "4:0", "2:0", "6:0,6:1", "", ""]
+    assert [got[i].n_removed for i in range(9)] == [0, 1, 1, 1, 1, 1, 0, 0, 0]
+    assert got[7].n_lines == got[8].n_links == 0
