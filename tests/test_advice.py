@@ -1,6 +1,9 @@
 """Cuts found by review: each case fails where part of the job is left out."""
 
-from trovex.llm import line_join
+import numpy as np
+import pytest
+
+from trovex.llm import lattice_lm, line_join
 from trovex.plans import registry
 
 
@@ -37,3 +40,27 @@ def test_rows_without_an_id_of_their_own_lose_only_their_lines(spark):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     per_row = sorted((r.n_lines, r.n_removed) for r in line_join.line_links(docs, cell_bits=10, place_bits=10).collect())
     assert per_row == [(0, 0), (1, 0), (1, 0), (1, 1), (2, 0), (2, 1), (2, 1)]
+
+
+def test_long_training_words_are_counted():
+    p = lattice_lm.Pieces([bytes([b]) for b in range(256)] + [lattice_lm.MARK + b"a", b"ab", b"b" * 3, b"abcab"], np.log(np.arange(1, 262) / np.arange(1, 262).sum()))
+    words = [b"ab" * 20, b"abcab" * 9, b"x" * 44, lattice_lm.END]
+    count = np.array([3.0, 2.0, 5.0, 7.0])
+    want = lattice_lm.expected_counts(words, count, p)
+    long = [w * 2 for w in words[:3]]
+    assert min(map(len, long)) > lattice_lm.LONG
+    for w, c in zip(words[:3], count):  # one word at a time equals rows of words of one length
+        one = np.zeros(len(p.logp))
+        lattice_lm._long_counts(lattice_lm.MARK + w, c, p, one)
+        assert one == pytest.approx(lattice_lm.expected_counts([w], np.array([c]), p))
+    assert want[-1] == 7
+    got = lattice_lm.expected_counts(long, count[:3], p)
+    size = np.array([*map(len, p.text)])
+    assert (got[:-1] * size).sum() == pytest.approx(sum(c * len(lattice_lm.MARK + w) for w, c in zip(long, count)))
+
+
+def test_frequent_long_words_gain_by_learning(spark):
+    word = "数据处理" * 6  # 72 bytes without a blank
+    docs = spark.createDataFrame([(i, word) for i in range(40)], "doc_id long, text string")
+    first, learned = (lattice_lm.lattice_scores(docs, rounds=r).first().score for r in (0, 2))
+    assert learned > first + 10  # the end of the texts alone gains less than 2

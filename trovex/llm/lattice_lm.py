@@ -117,7 +117,12 @@ def _forward(arcs: list, n: int, logp: np.ndarray) -> np.ndarray:
     return alpha
 
 
-def _long_word(raw: bytes, pieces: Pieces) -> float:
+def _log_sum(terms: list[float]) -> float:
+    top = max(terms)
+    return top + math.log(sum(math.exp(t - top) for t in terms))
+
+
+def _long_alpha(raw: bytes, pieces: Pieces) -> list[float]:
     """The forward recursion for one long word."""
     alpha = [0.0]
     for stop in range(1, len(raw) + 1):
@@ -126,9 +131,24 @@ def _long_word(raw: bytes, pieces: Pieces) -> float:
             i = pieces.number.get(raw[start:stop])
             if i is not None:
                 terms.append(alpha[start] + pieces.logp[i])
-        top = max(terms)
-        alpha.append(top + math.log(sum(math.exp(t - top) for t in terms)))
-    return alpha[-1]
+        alpha.append(_log_sum(terms))
+    return alpha
+
+
+def _long_counts(raw: bytes, weight: float, pieces: Pieces, total: np.ndarray) -> None:
+    """Adds one long word's expected pieces to ``total``: the word's arcs are met from its end, so only its two rows are held."""
+    alpha = _long_alpha(raw, pieces)
+    whole = alpha[-1]
+    beta = [-math.inf] * len(raw) + [0.0]
+    for start in range(len(raw) - 1, -1, -1):
+        terms = []
+        for stop in range(start + 1, min(len(raw), start + pieces.longest) + 1):
+            i = pieces.number.get(raw[start:stop])
+            if i is not None:
+                via = pieces.logp[i] + beta[stop]
+                terms.append(via)
+                total[i] += math.exp(alpha[start] + via - whole) * weight
+        beta[start] = _log_sum(terms)
 
 
 def _by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -148,14 +168,14 @@ def log_marginals(words: list[bytes], pieces: Pieces) -> np.ndarray:
         out[which] = _forward(_arcs(rows, pieces), len(which), pieces.logp)[-1]
     for i, w in enumerate(words):
         if len(w) > LONG:
-            out[i] = _long_word(MARK + w, pieces)
+            out[i] = _long_alpha(MARK + w, pieces)[-1]
         elif w == END:
             out[i] = pieces.logp[-1]
     return out
 
 
 def expected_counts(words: list[bytes], count: np.ndarray, pieces: Pieces) -> np.ndarray:
-    """How often each piece occurs in the words, expected over all segmentations. Long words are left to the byte pieces' prior."""
+    """How often each piece occurs in the words, expected over all segmentations."""
     total = np.zeros(len(pieces.logp))
     for which, rows in _by_length(words):
         arcs = _arcs(rows, pieces)
@@ -168,9 +188,11 @@ def expected_counts(words: list[bytes], count: np.ndarray, pieces: Pieces) -> np
                 via = pieces.logp[piece] + beta[stop, r]
                 beta[start, r] = np.logaddexp(beta[start, r], via)
                 total += np.bincount(piece, np.exp(alpha[start, r] + via - alpha[-1, r]) * weight[r], len(total))
-    ends = [i for i, w in enumerate(words) if w == END]
-    for i in ends:
-        total[-1] += count[i]
+    for i, w in enumerate(words):
+        if len(w) > LONG:
+            _long_counts(MARK + w, count[i], pieces, total)
+        elif w == END:
+            total[-1] += count[i]
     return total
 
 
