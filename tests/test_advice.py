@@ -64,3 +64,9 @@ def test_frequent_long_words_gain_by_learning(spark):
     docs = spark.createDataFrame([(i, word) for i in range(40)], "doc_id long, text string")
     first, learned = (lattice_lm.lattice_scores(docs, rounds=r).first().score for r in (0, 2))
     assert learned > first + 10  # the end of the texts alone gains less than 2
+
+
+def test_no_valid_row_is_cut_by_its_number(spark):
+    sf = "/root/testdata/sf0.001"
+    for query, source in (("normalize_product", "part"), ("valid_url", "events")):
+        assert registry.queries()[query](spark, sf).count() == spark.read.parquet(f"{sf}/{source}.parquet").count()

@@ -51,7 +51,7 @@ def convert_catalog(t):
 
 @query("select coalesce(case when ord % 5 = 0 then null else product_id end, 'A' || ord::varchar) as product_id, title, brand as d_brand, size::varchar as d_size from fx_products where ord % 11 <> 0")
 def normalize_product(t):
-    raw = t("fx_products").where("ord % 11 <> 0").select(F.when(F.col("ord") % 5 != 0, F.col("product_id")).alias("product_id"), F.concat(F.lit("A"), "ord").alias("asin"), "title", "brand", "size")
+    raw = t("fx_products").select(F.when(F.col("ord") % 5 != 0, F.col("product_id")).alias("product_id"), F.concat(F.lit("A"), "ord").alias("asin"), "title", "brand", "size")
     details = F.create_map(F.lit("brand"), F.col("brand"), F.lit("size"), F.col("size").cast("string"))
     return raw.select(F.coalesce("product_id", "asin").alias("product_id"), "title", details.alias("d")).where("product_id is not null").select("product_id", "title", F.col("d")["brand"].alias("d_brand"), F.col("d")["size"].alias("d_size"))
 
@@ -498,7 +498,7 @@ def asset_path(t):
     return t("fx_manifest").select("ord", F.concat(F.lit("products/"), "product_id", F.lit("/images/"), "type", F.lit("/"), X.sanitize(name), F.lit("_"), F.substring(F.sha2(F.col("url").cast("binary"), 256), 1, 8), F.lit(".png")).alias("path"))
 
 
-both("valid_url", "select ord, url from fx_manifest where url like 'http%' and ord % 2 = 0")
+both("valid_url", "select ord, url from fx_manifest where url like 'http%'")
 both("has_assets", "select p.ord, p.product_id from fx_products p left semi join fx_manifest m on p.product_id = m.product_id")
 ORACLES["has_assets"] = duck("select ord, product_id from fx_products where product_id in (select product_id from fx_manifest)")
 both("resume_anti", "select p.ord, p.product_id from fx_products p left anti join fx_manifest m on p.product_id = m.product_id")
