@@ -1,18 +1,22 @@
 """Language-model scores as the marginal likelihood of a subword lattice.
 
-The pieces are those of an existing subword vocabulary; their probabilities start from the vocabulary's own scores and
-are re-estimated on the training words by expectation-maximisation (forward-backward over all segmentations). The
-score of a word is the log of the summed probability of all its segmentations, by a forward recursion in log space; a
-text is its words and one end. Every byte is also a piece, so that each word has a segmentation.
+The pieces are those of an existing subword vocabulary, and its scores weigh them: a piece's log probability is its score
+over a temperature, less the common log normaliser. (The vocabulary at hand scores a piece by minus its rank.) The score
+of a word is the log of the summed probability of all its segmentations, by a forward recursion in log space; a text is
+its words and one end. Every byte is also a piece, with the lowest score where the vocabulary has none, so that each word
+has a segmentation. From the training texts come the word counts of the base score and how often a text ends.
+``em_rounds`` re-estimates the piece weights from the training words by expectation-maximisation (forward-backward over
+all segmentations) and adds the score under those weights as ``em_score``; the query leaves that out.
 
 Texts are cut into chunks of a bounded number of tokens. Each distinct word of a chunk goes to the word table once, with
-its training count; there a word is counted and scored once for the whole corpus, and its values go back to the chunks
-that hold it, where the texts' sums are made from the chunk's own numbering. So texts never travel, the lattice of a word
-is run once however often it occurs, and a frequent word costs a row for each chunk. Nothing but the piece counts and two
-totals reaches the driver.
-
-Defined results: a null or blank text is the end alone; rows without doc_id are not held out and are learned from; equal texts have equal
-scores; without training texts all pieces keep their first weights; an empty table gives an empty result.
+its training count; there a word is counted and scored once for the whole corpus, and its values go back, by a 64-bit
+hash of the word, to the chunks that hold it, where the texts' sums are made from the chunk's own numbering. So texts
+never travel, the lattice of a word is run once however often it occurs, and a frequent word costs a row for each chunk.
+Nothing but the piece counts (if asked for) and three totals reaches the driver.
+
+Defined results: a null or blank text is the end alone; rows without doc_id are not held out and are learned from; equal
+texts have equal scores; without training texts the end has its prior probability of a half; words of any length are
+scored, and learned from, alike; further columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,15 +37,18 @@ from trovex.llm.runtime import materialize, ship, table, tokenizer_path
 
 VOCABULARY = "piece_bpe_32k.model"
 CHUNK_TOKENS = 1_000_000
-EM_ROUNDS = 2
+#: Chosen by the likelihood of training words.
+TEMPERATURE = 6000.0
 END = b" "  # no word holds a blank
 MARK = "▁".encode()
 LONG = 48
+#: The file scores pieces that no merge makes with minus a milliard; they count as the lowest of the others.
+NO_SCORE = -1e8
 LN10 = math.log(10)
 
 
 class Pieces:
-    """Pieces as byte strings with log probabilities. Number len(text) is the end of a text."""
+    """Pieces as byte strings with log probabilities."""
 
     def __init__(self, text: list[bytes], logp: np.ndarray):
         self.text, self.logp = text, logp
@@ -54,28 +61,19 @@ class Pieces:
             raise ValueError("two pieces share a hash")
 
     @classmethod
-    def load(cls, path: str) -> "Pieces":
-        """From a vocabulary file: its scores are ranks, so a piece starts with a probability like 1 / rank."""
+    def load(cls, path: str, temperature: float = TEMPERATURE) -> "Pieces":
+        """From a vocabulary file, with the weights that its scores give at ``temperature``."""
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        text, score = [bytes([b]) for b in range(256)], [-1e6] * 256
-        at = {t: i for i, t in enumerate(text)}
+        score: dict[bytes, float] = {}
         for i in range(sp.get_piece_size()):
-            if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i):
-                continue
-            t = sp.id_to_piece(i).encode()
-            if t in at:
-                score[at[t]] = sp.get_score(i)
-            else:
-                at[t] = len(text)
-                text.append(t)
-                score.append(sp.get_score(i))
-        rank = np.empty(len(text))
-        rank[np.argsort(-np.array(score), kind="stable")] = np.arange(len(text))
-        p = 1 / (rank + 10)
-        end = p.sum() * 0.002
-        return cls(text, np.log(np.append(p, end) / (p.sum() + end)))
+            if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)):
+                score.setdefault(sp.id_to_piece(i).encode(), sp.get_score(i))
+        least = min(x for x in score.values() if x > NO_SCORE)
+        score = {t: max(x, least) for t, x in score.items()} | {bytes([i]): least for i in range(256) if bytes([i]) not in score}
+        logp = np.array(list(score.values())) / temperature
+        return cls(list(score), logp - _log_sum(logp.tolist()))
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Piece numbers of hashes, -1 where there is none."""
@@ -156,21 +154,21 @@ def _by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     size = np.array([len(w) for w in words])
     for n in np.unique(size):
         if n <= LONG:
-            which = np.flatnonzero(size == n)
+            which = np.array([i for i in np.flatnonzero(size == n) if words[i] != END], np.int64)
+            if not len(which):
+                continue
             rows = np.frombuffer(b"".join([MARK + words[i] for i in which]), np.uint8).reshape(len(which), n + len(MARK)).astype(np.uint64)
             yield which, rows
 
 
 def log_marginals(words: list[bytes], pieces: Pieces) -> np.ndarray:
-    """Natural log of each word's probability over all segmentations; END is the end of a text."""
-    out = np.empty(len(words))
+    """Natural log of each word's probability over all segmentations; 0 for END."""
+    out = np.zeros(len(words))
     for which, rows in _by_length(words):
         out[which] = _forward(_arcs(rows, pieces), len(which), pieces.logp)[-1]
     for i, w in enumerate(words):
         if len(w) > LONG:
             out[i] = _long_alpha(MARK + w, pieces)[-1]
-        elif w == END:
-            out[i] = pieces.logp[-1]
     return out
 
 
@@ -191,11 +189,21 @@ def expected_counts(words: list[bytes], count: np.ndarray, pieces: Pieces) -> np
     for i, w in enumerate(words):
         if len(w) > LONG:
             _long_counts(MARK + w, count[i], pieces, total)
-        elif w == END:
-            total[-1] += count[i]
     return total
 
 
+def _packed(tokens: np.ndarray) -> bytes:
+    """Token numbers, small ones more often, byte plane by byte plane and compressed."""
+    planes = np.ascontiguousarray(tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return len(tokens).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:8], "little")
+    planes = np.frombuffer(pa.decompress(packed[8:], 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def _chunked(docs: DataFrame, most: int) -> DataFrame:
     """Chunks of texts: ids, folds and token counts of the texts, the tokens as numbers into the chunk's words, and the words with their training counts."""
 
@@ -224,7 +232,7 @@ def _chunked(docs: DataFrame, most: int) -> DataFrame:
                 pa.array([np.concatenate([np.asarray(x, object) for x in ids]).tolist()], pa.list_(pa.int64())),
                 pa.array([held_all.tolist()], pa.list_(pa.bool_())),
                 pa.array([count.tolist()], pa.list_(pa.int64())),
-                pa.array([tokens.astype("<u4").tobytes()], pa.binary()),
+                pa.array([_packed(tokens)], pa.binary()),
                 pa.array([words], pa.list_(pa.binary())),
                 pa.array([learned.tolist()], pa.list_(pa.int64())),
             ],
@@ -250,7 +258,7 @@ def _chunked(docs: DataFrame, most: int) -> DataFrame:
 
 
 def _learn(words: DataFrame, pieces: Pieces, rounds: int, prior: float = 1000.0) -> Pieces:
-    """Piece probabilities after ``rounds`` of expectation-maximisation over ``words`` (word, c); the first weights count as ``prior`` occurrences in all."""
+    """Piece probabilities after ``rounds`` of expectation-maximisation over ``words`` (word, c); the vocabulary's weights count as ``prior`` occurrences in all."""
     first = np.exp(pieces.logp)
     for _ in range(rounds):
         now = pieces
@@ -270,41 +278,45 @@ def _learn(words: DataFrame, pieces: Pieces, rounds: int, prior: float = 1000.0)
     return pieces
 
 
-def lattice_scores(docs: DataFrame, path: str | None = None, rounds: int = EM_ROUNDS, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of ``docs`` (doc_id, text)."""
+def lattice_scores(docs: DataFrame, path: str | None = None, temperature: float = TEMPERATURE, em_rounds: int = 0, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (and em_score, if ``em_rounds``) for each row of ``docs`` (doc_id, text)."""
     ship(docs.sparkSession)
-    start = Pieces.load(path or tokenizer_path(VOCABULARY))
+    models = [Pieces.load(path or tokenizer_path(VOCABULARY), temperature)]
     chunks = _chunked(docs, chunk_tokens)
     cells = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "learned")).alias("at", "w")).select("chunk", "at", F.col("w.words").alias("word"), F.col("w.learned").alias("learned"))
     counted = materialize(cells.groupBy("word").agg(F.sum("learned").alias("c")))
-    whole = counted.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    n, v = int(whole["n"] or 0), int(whole["v"] or 0)
-    pieces = _learn(counted, start, rounds)
+    whole = counted.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.sum(F.when(F.col("word") == F.lit(END), F.col("c"))).alias("ends")).first()
+    n, v, ends = (int(whole[k] or 0) for k in ("n", "v", "ends"))
+    stop = (ends + 0.5) / (n + 1)  # the probability that a token is an end
+    if em_rounds:
+        models.append(_learn(counted, models[0], em_rounds))
+    names = ["model", "em"][: len(models)]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = batch.column(1).to_numpy()
-            base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c > 0), pa.array(base), pa.array(log_marginals(batch.column(0).to_pylist(), pieces) / LN10)], names=["word", "known", "base", "model"])
+            words = batch.column(0).to_pylist()
+            stops = np.array([math.log(stop if w == END else 1 - stop) for w in words])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array((log_marginals(words, m) + stops) / LN10) for m in models]], names=["word", "c", *names])
 
-    scored = counted.mapInArrow(score, "word binary, known boolean, base double, model double")
-    values = cells.select("chunk", "at", "word").join(scored.hint("merge"), "word").select(F.col("chunk").alias("of_chunk"), "at", "known", "base", "model")
+    scored = counted.mapInArrow(score, "word binary, c long, " + ", ".join(f"{x} double" for x in names))
+    values = cells.select("chunk", "at", F.xxhash64("word").alias("h")).join(scored.select(F.xxhash64("word").alias("h"), "c", *names), "h").select(F.col("chunk").alias("of_chunk"), "at", "c", *names)
+    fields = ["base_score", "score", "em_score"][: 1 + len(names)]
 
     def sums(chunk: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
         parts = []
         for r in chunk.itertuples(index=False):
-            size = len(values)
-            known, base, model = np.zeros(size), np.zeros(size), np.zeros(size)
-            at = values["at"].to_numpy()
-            known[at], base[at], model[at] = values["known"], values["base"], values["model"]
-            tokens = np.frombuffer(r.tokens, "<u4")
+            order = np.argsort(values["at"].to_numpy())
+            c = values["c"].to_numpy()[order]
+            by_word = [np.log10((c + 0.5) / (n + 0.5 * (v + 1))), *(values[x].to_numpy()[order] for x in names)]
+            tokens = _unpacked(r.tokens)
             first = np.concatenate([[0], np.cumsum(np.asarray(r.counts, np.int64))])
-            k, b, m = (tk.per_doc_sum(x[tokens], first) + x[size - 1] for x in (known, base, model))
+            known = tk.per_doc_sum((c > 0).astype(float)[tokens], first) + (c[-1] > 0)
             ids = pd.array([None if x is None or x != x else int(x) for x in r.ids], dtype="Int64")
-            parts.append(pd.DataFrame({"doc_id": ids, "held_out": np.asarray(r.held, bool), "n_tokens": np.diff(first) + 1, "n_known": np.rint(k).astype(np.int64), "train_tokens": n, "base_score": b, "score": m}))
-        return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
+            out = {"doc_id": ids, "held_out": np.asarray(r.held, bool), "n_tokens": np.diff(first) + 1, "n_known": np.rint(known).astype(np.int64), "train_tokens": n}
+            parts.append(pd.DataFrame(out | {f: tk.per_doc_sum(x[tokens], first) + x[-1] for f, x in zip(fields, by_word)}))
+        return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", *fields)})
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, " + ", ".join(f"{f} double" for f in fields)
     return chunks.select("chunk", "ids", "held", "counts", "tokens").groupBy("chunk").cogroup(values.groupBy("of_chunk")).applyInPandas(sums, schema)
 
 
