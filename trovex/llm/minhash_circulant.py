@@ -15,8 +15,10 @@ for each two.
 The joins are sort-merge joins at every size: nothing is broadcast that grows with the data.
 
 Defined results: a null, empty or blank text has an empty set and is linked with nothing; a text with fewer words than
-a shingle has its whole sequence as its one shingle; rows that share a doc_id are one node; a row without doc_id joins
-its group and never names it; equal rows have equal results; an empty table gives an empty result.
+a shingle has its whole sequence as its one shingle; each row is judged by its own text, also where rows share a doc_id
+or have none; a component is named by its smallest doc_id, and by null where it has none; ``stays`` marks one row of each
+component (the smallest doc_id, then the smallest hash of the text; rows equal in both are marked alike); equal rows have
+equal results; further columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,6 +41,7 @@ ROWS = 4
 BANDS = 25
 CIRCLE = 1 << 19
 MASK = 4
+NO_ID = (1 << 63) - 1
 LACKS = [f"lacks_{k}" for k in range(MASK)]
 _values: dict[tuple[int, int], np.ndarray] = {}
 
@@ -118,19 +121,20 @@ def _signed(docs: DataFrame, n: int, rows: int, bands: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(2),
                         pa.array(size.astype(np.int64)),
                         pa.array(_totals(tk.mix(shingle), first).view(np.int64)),
                         pa.array(_totals(tk.mix(shingle ^ np.uint64(0xBB67AE8584CAA73B)), first).view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel())),
                     ],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands"],
+                    names=["doc_id", "row", "n_shingles", "set_a", "set_b", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("row")).mapInArrow(run, "doc_id long, row long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """(node, set): the full shingle sets of the documents in ``nodes``."""
+    """(node, set): the full shingle sets of the classes in ``nodes`` (node, doc, row), from a text of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,8 +142,10 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
                 shingle, first = shingle_sets(part.column(1), n)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(shingle.view(np.int64)))], names=["node", "set"])
 
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes.hint("merge"), F.col("doc_id") == F.col("node"), "left_semi")
-    return materialize(wanted.mapInArrow(run, "node long, set array<long>"))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("row"), "text")
+    wanted = keyed.join(nodes.hint("merge"), ["doc", "row"]).select("node", "text")
+    # rows equal in doc_id and text come more than once
+    return materialize(wanted.mapInArrow(run, "node long, set array<long>").groupBy("node").agg(F.first("set").alias("set")))
 
 
 def _bits(shingles: Column, word: int) -> Column:
@@ -160,14 +166,15 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text): linked at ``percent`` Jaccard or more."""
+    """(doc_id, n_shingles, component_id, kept, row, stays) for each row of ``docs`` (doc_id, text): linked at ``percent`` Jaccard or more; row is the text's xxhash64."""
     spark = docs.sparkSession
     ship(spark)
     signed = materialize(_signed(docs, shingle_words, rows, bands))
-    classes = signed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    classes = materialize(classes)
-    rooted = classes.where("node is not null")
-    bucket = materialize(rooted.select("node", "n", F.explode("bands").alias("key")))
+    place = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "row")
+    classes = signed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min(place).alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    # written at once, so each class keeps its number
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()))
+    bucket = materialize(classes.select("node", "n", F.explode("bands").alias("key")))
     shared = bucket.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     crowd = materialize(bucket.join(shared.hint("merge"), "key"))
     # the class that shares its buckets with most others is the likeliest to be linked with all of them
@@ -178,6 +185,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     pairs = materialize(star.where(fits(F.col("n"), F.col("leader_n"))).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
     nodes = star.select(F.col("leader").alias("node")).unionByName(star.select("node")).distinct()
+    nodes = classes.select("node", "first.doc", "first.row").join(nodes.hint("merge"), "node", "left_semi")
     sets = _sets_of(docs, nodes, shingle_words)
     first = materialize(_verify(pairs, sets, percent))
     edges = first.where("linked").select("a", "b")
@@ -216,11 +224,16 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         if second.limit(1).count():
             labels = components(edges.unionByName(second))
 
-    named = classes.join(labels.hint("merge"), "node", "left").select("set_a", "set_b", F.coalesce("label", "node").alias("class_component"))
-    found = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(named.hint("merge"), ["set_a", "set_b"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("class_component")).otherwise(F.col("doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    linked = classes.select("node", "first").join(labels.hint("merge"), "node")
+    heads = linked.groupBy("label").agg(F.min("first").alias("head"))
+    heads = linked.select("node", "label").join(heads.hint("merge"), "label").select("node", "head")
+    named = classes.select("node", "set_a", "set_b", "first").join(heads.hint("merge"), "node", "left").select("set_a", "set_b", F.coalesce("head", "first").alias("head"))
+    found = signed.select("doc_id", "row", "n_shingles", "set_a", "set_b").join(named.hint("merge"), ["set_a", "set_b"], "left")
+    some = F.col("n_shingles") > 0
+    component = F.when(~some, F.col("doc_id")).when(F.col("head.doc") != NO_ID, F.col("head.doc"))
+    found = found.select("doc_id", "n_shingles", component.alias("component_id"), "row", (~some | (place == F.col("head"))).alias("stays"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row", "stays")
 
 
 def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4)
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4).drop("row", "stays")

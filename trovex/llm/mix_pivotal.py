@@ -90,7 +90,7 @@ def _reduce_bucket(size: np.ndarray, mass: np.ndarray, rng: np.random.Generator)
 
 def _bucket_rounder(seed: int, level: int):
     def run(groups: pd.DataFrame) -> pd.DataFrame:
-        groups = groups.sort_values(["size", "pick", "doc_id"], ascending=[False, True, True], kind="stable", na_position="last")
+        groups = groups.sort_values(["size", "pick", "salt"], ascending=[False, True, True], kind="stable")
         size, mass = groups["size"].to_numpy(float), groups["mass"].to_numpy(float).copy()
         rng = np.random.default_rng([seed, level, int(groups["pick"].iloc[0]) & 0x7FFFFFFF, int(groups["bucket"].iloc[0])])
         _reduce_bucket(size, mass, rng)
@@ -103,13 +103,14 @@ def pivotal_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     """One row for each row of ``docs``: its key (as doc_id), source, size, source_size, target, copies and taken words."""
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col("source").cast("string").alias("source"), (size_of(F.col("text")) if size is None else size).alias("size"))
+    rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col("source").cast("string").alias("source"), (size_of(F.col("text")) if size is None else size).alias("size"), F.xxhash64("text").alias("salt"))
+    rows = rows.withColumn("salt", F.when(F.col("doc_id").isNull(), F.xxhash64("salt", F.monotonically_increasing_id())).otherwise(F.col("salt")))
     rows = materialize(rows)  # the only pass over the texts
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), weights, share, most_times)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.join(targets, rows["source"].eqNullSafe(targets["source"]), "inner").drop(targets["source"])
     rows = rows.withColumn("whole", F.least(F.floor(rate + F.lit(1e-9)), F.lit(int(most_times)))).withColumn("mass", F.greatest(F.lit(0.0), rate - F.col("whole")) * F.col("size"))
-    rows = rows.withColumn("pick", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("buckets", F.ceil(F.col("n_docs") / bucket))
+    rows = rows.withColumn("pick", F.xxhash64(F.lit(seed), "doc_id", "size", "salt")).withColumn("buckets", F.ceil(F.col("n_docs") / bucket))
     state = rows.withColumn("bucket", F.pmod("pick", "buckets")).withColumn("live", F.col("mass") > 0)
     schema = state.schema
     state = materialize(state.groupBy("source", "bucket").applyInPandas(_bucket_rounder(seed, 0), schema))
@@ -120,11 +121,11 @@ def pivotal_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
         if most <= 1:
             break
         level += 1
-        fresh = rest.withColumn("pick", F.xxhash64(F.lit(seed + level), "doc_id", "size")).withColumn("buckets", F.ceil(F.col("buckets") / bucket))
+        fresh = rest.withColumn("pick", F.xxhash64(F.lit(seed + level), "doc_id", "size", "salt")).withColumn("buckets", F.ceil(F.col("buckets") / bucket))
         fresh = fresh.withColumn("bucket", F.pmod("pick", "buckets"))
         fresh = materialize(fresh.groupBy("source", "bucket").applyInPandas(_bucket_rounder(seed, level), schema))
         done, rest = done.unionByName(fresh.where(~is_open)), fresh.where(is_open)
-    drawn = F.pmod(F.xxhash64(F.lit(seed), F.lit("last"), "doc_id"), F.lit(1 << 30)) / float(1 << 30) * F.col("size") < F.col("mass")
+    drawn = F.pmod(F.xxhash64(F.lit(seed), F.lit("last"), "doc_id", "salt"), F.lit(1 << 30)) / float(1 << 30) * F.col("size") < F.col("mass")
     done = done.unionByName(rest.withColumn("mass", F.when(drawn, F.col("size").cast("double")).otherwise(0.0)))
     copies = (F.col("whole") + F.when(F.col("mass") > F.col("size") * 0.5, 1).otherwise(0)).cast("long")
     return done.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

@@ -4,7 +4,8 @@ The words of each text form a sequence; its suffix array (prefix doubling that o
 at once) and the longest common prefixes of neighbouring suffixes give, for each position, the longest passage that also
 starts elsewhere in the text: the deepest LCP interval that holds the suffix. Those intervals of ``min_repeat`` words or
 more are the maximal repeated substrings; the union of their spans gives the covered fraction, the deepest the longest
-repeat. A text is kept if neither exceeds its limit and the base rules hold.
+repeat. A text is kept if neither exceeds its limit and the base rules hold. The limits are the method's own: passages
+of 4 words count, so a text of stuttered words or short phrases goes, which no window of the base rule sees.
 
 Defined results: a null or blank text has no words and fails the base rule; equal rows are judged alike; an empty table
 gives an empty result; other columns, whatever their names, stay untouched because outputs are only the named ones.
@@ -23,9 +24,10 @@ from trovex.llm.runtime import ship, table
 
 WINDOW = 8
 MIN_WORDS = 20
-MIN_REPEAT = 8
+MIN_REPEAT = 4
+#: Shares of a text's words.
 MAX_COVERED = 0.3
-MAX_LONGEST = 200
+MAX_LONGEST = 0.25
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -108,7 +110,7 @@ def _dup_lines(data: np.ndarray, offsets: np.ndarray) -> list[int]:
     return out
 
 
-def measure(col: pa.Array, min_repeat: int, max_covered: float, max_longest: int) -> dict[str, np.ndarray | list]:
+def measure(col: pa.Array, min_repeat: int, max_covered: float, max_longest: float) -> dict[str, np.ndarray | list]:
     w = tk.words(col)
     best = longest_repeats(w.hashes(), w.doc())
     n = w.count.astype(np.int64)
@@ -127,11 +129,11 @@ def measure(col: pa.Array, min_repeat: int, max_covered: float, max_longest: int
         "covered_words": cover,
         "longest_repeat": longest,
         "base_failed": failed,
-        "kept": ~failed & (cover <= max_covered * n) & (longest <= max_longest),
+        "kept": ~failed & (cover <= max_covered * n) & (longest <= max_longest * n),
     }
 
 
-def suffix_repetition(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST, carry: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
+def suffix_repetition(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: float = MAX_LONGEST, carry: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
     """``carry`` columns of ``docs`` plus the measures and verdict of each row's ``text``, their names after ``prefix``. One pass, no shuffle."""
     ship(docs.sparkSession)
     fields = [f for f in docs.schema.fields if f.name in carry]

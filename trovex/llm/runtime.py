@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
@@ -32,23 +33,30 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; a temporary folder only where that is unset, as in local tests."""
+    """The cluster's shared folder, spark.checkpoint.dir. Where that is unset, a temporary folder, but only in local mode:
+    on a cluster a machine's own folder would lose rows."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(named)
-        return named
+    if not named and not sc.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir names no shared folder")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="ckpt"))
-    return sc._jsc.sc().getCheckpointDir().get()
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ckpt"))
+    return named or sc._jsc.sc().getCheckpointDir().get()
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back: cuts lineage and survives lost executors."""
+    """Writes ``df`` as Parquet into the shared folder and reads it back: cuts lineage and survives lost executors. The
+    shuffle files of the write go with its end, the folder with the application's."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -67,10 +75,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tokenizer_path(name: str) -> str:
-    """The place of a public vocabulary file; the folder can be set with TOKENIZER_DIR."""
+    """The place of a public vocabulary file on the driver; the folder can be set with TOKENIZER_DIR."""
     folder = os.environ.get("TOKENIZER_DIR")
     if folder:
         return os.path.join(folder, name)
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def ship_file(spark: SparkSession, path: str) -> str:
+    """Sends a driver's file to every executor, once for each application; the name under which SparkFiles.get finds it."""
+    sc = spark.sparkContext
+    if (key := f"{sc.applicationId} {path}") not in _SHIPPED:
+        sc.addFile(path)
+        _SHIPPED.add(key)
+    return os.path.basename(path)
