@@ -25,9 +25,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-from trovex.llm.runtime import ship, table, tokenizer_path
+from trovex.llm.runtime import ship, ship_file, table, tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
 CACHE_WORDS = 300_000
@@ -254,7 +255,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None, keep_ids: bool = True,
     from pyspark.sql import types as T
 
     ship(docs.sparkSession)
-    path = path or tokenizer_path(VOCABULARY)
+    vocabulary = ship_file(docs.sparkSession, path or tokenizer_path(VOCABULARY))
     fields = [f for f in docs.schema.fields if f.name in carry]
     schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in fields), T.StructField("n_tokens", T.LongType())])
     if keep_ids:
@@ -263,7 +264,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None, keep_ids: bool = True,
         schema.add("ids_sha256", T.StringType()).add("decoded_sha256", T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(path)
+        bpe = codec(SparkFiles.get(vocabulary))
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

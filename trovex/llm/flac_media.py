@@ -1,8 +1,10 @@
 """FLAC columns: bytes as 8-bit mono samples, encoded to FLAC streams and decoded to PCM blocks, many frames at once.
 
-A stream has STREAMINFO, a SEEKTABLE with a point for each frame, and frames of 576 samples: constant, verbatim or fixed
-linear prediction with Rice-coded residuals, whichever is shortest. The decoder reads Rice residuals of any partition
-order, fixed and LPC predictors, and checks each frame's CRC-8 and CRC-16 and the stream's MD5; a damaged stream raises.
+A stream has STREAMINFO, a SEEKTABLE with a point for each frame, and frames of 576 samples: constant, fixed linear
+prediction of order 0 to 2 or LPC of order 4 (from the frame's autocorrelation) with Rice-coded residuals, by the least
+sum of residuals, or verbatim where that is shorter. The decoder reads Rice residuals of any partition order, fixed and
+LPC predictors, and checks each frame's CRC-8 and CRC-16 and the stream's MD5; a damaged stream raises. What it decodes
+becomes PCM blocks with their sample offsets and the byte offsets of their frames, so a reader can seek to either.
 Frame starts come from the seek table, or from the frames themselves where there is none. Frames of all streams of a
 batch advance together, one sample a step, so Python's cost is spread over thousands of frames.
 
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,9 @@ from trovex.llm.runtime import ship, table
 BLOCK = 576
 RATE = 8000
 BATCH_BYTES = 1 << 20
+LPC_ORDER = 4
+LPC_BITS = 8
+LPC_SHIFT = 6
 
 
 def _crc_table(poly: int, bits: int) -> np.ndarray:
@@ -82,7 +88,21 @@ def _header(n: int) -> bytes:
     return out
 
 
-def encode_frames(x: np.ndarray, number: np.ndarray) -> list[bytes]:
+def _lpc(x: np.ndarray) -> np.ndarray:
+    """Quantised coefficients of the linear predictor of order LPC_ORDER for each row of samples, by Levinson's recursion."""
+    y = x.astype(np.float64)
+    r = np.stack([(y[:, j:] * y[:, : BLOCK - j]).sum(axis=1) for j in range(LPC_ORDER + 1)])
+    r[0] = r[0] * (1 + 1e-9) + 1e-9
+    a, error = np.zeros((LPC_ORDER, len(x))), r[0].copy()
+    for m in range(LPC_ORDER):
+        reflection = (r[m + 1] - (a[:m] * r[1 : m + 1][::-1]).sum(axis=0)) / error
+        a[:m], a[m] = a[:m] - reflection * a[:m][::-1], reflection
+        error = np.maximum(error * (1 - reflection**2), 1e-9)
+    half = 1 << (LPC_BITS - 1)
+    return np.clip(np.rint(a * (1 << LPC_SHIFT)), -half, half - 1).astype(np.int64).T
+
+
+def encode_frames(x: np.ndarray, number: np.ndarray, partition_order: int = 0) -> list[bytes]:
     """A FLAC frame for each row of ``x`` (signed samples, BLOCK a row) with its frame number."""
     f = len(x)
     body: list[bytes] = [b""] * f
@@ -90,27 +110,36 @@ def encode_frames(x: np.ndarray, number: np.ndarray) -> list[bytes]:
     constant = (x == x[:, :1]).all(axis=1)
     for i in np.flatnonzero(constant).tolist():
         body[i] = b"\x00" + raw[i, :1].tobytes()
-    residual, cost = [], np.empty((3, f), np.int64)
+    kinds = (0, 1, 2, LPC_ORDER)  # orders; the last is LPC
+    residual, cost = [], np.empty((4, f), np.int64)
+    zigzag = lambda r: ((r << 1) ^ (r >> 31)).astype(np.uint32)
     r = x.astype(np.int32)
     for order in range(3):
         if order:
             r = np.diff(r, axis=1)
-        u = ((r << 1) ^ (r >> 31)).astype(np.uint32)
-        residual.append(u)
-        cost[order] = u.sum(axis=1, dtype=np.int64)
-    order = cost.argmin(axis=0)
+        residual.append(zigzag(r))
+    weights = _lpc(x)
+    said = sum(weights[:, j, None] * x[:, LPC_ORDER - 1 - j : BLOCK - 1 - j] for j in range(LPC_ORDER)) >> LPC_SHIFT
+    residual.append(zigzag((x[:, LPC_ORDER:] - said).astype(np.int32)))
+    for c, u in zip(cost, residual):
+        c[:] = u.sum(axis=1, dtype=np.int64)
+    cost[3] += 8 * BLOCK // 16  # the coefficients' own bits
+    choice = cost.argmin(axis=0)
     mean = cost.min(axis=0) / BLOCK
     k = np.clip(np.floor(np.log2(np.maximum(mean * 0.7, 1))), 0, 8).astype(int)
-    for o in range(3):
+    for o in range(4):
+        order = kinds[o]
+        boundary = np.zeros(BLOCK - order, np.int64)
+        boundary[[at - order for at in range(BLOCK >> partition_order, BLOCK, BLOCK >> partition_order)]] = 4
         for kk in range(9):
-            rows = np.flatnonzero((order == o) & (k == kk) & ~constant)
+            rows = np.flatnonzero((choice == o) & (k == kk) & ~constant)
             if not len(rows):
                 continue
             u = residual[o][rows]
             q = (u >> np.uint32(kk)).astype(np.int64)
             size = q + 1 + kk
-            lead = 8 + 8 * o + 10
-            total = lead + size.sum(axis=1)
+            lead = 8 + 8 * order + 10 + (9 + LPC_BITS * LPC_ORDER if o == 3 else 0)
+            total = lead + size.sum(axis=1) + boundary.sum()
             plain = total >= 8 + 8 * BLOCK
             for i in rows[plain].tolist():
                 body[i] = b"\x02" + raw[i].tobytes()
@@ -121,16 +150,24 @@ def encode_frames(x: np.ndarray, number: np.ndarray) -> list[bytes]:
             base = np.concatenate([[0], np.cumsum(nbytes)])
             bits = np.zeros(int(base[-1]) * 8, np.uint8)
             first = base[:-1] * 8
-            fields = [(0b001000 << 1 | o << 1, 8)] + [(raw[rows, j], 8) for j in range(o)] + [(0, 6), (kk, 4)]
+            if o == 3:
+                fields = [((0b100000 | order - 1) << 1, 8)] + [(raw[rows, j], 8) for j in range(order)] + [(LPC_BITS - 1, 4), (LPC_SHIFT, 5)]
+                fields += [(weights[rows, j] & ((1 << LPC_BITS) - 1), LPC_BITS) for j in range(order)]
+            else:
+                fields = [(0b001000 << 1 | order << 1, 8)] + [(raw[rows, j], 8) for j in range(order)]
             at = first.copy()
-            for value, width in fields:
+            for value, width in [*fields, (partition_order, 6), (kk, 4)]:
                 for j in range(width):
                     bits[at + j] = (value >> (width - 1 - j)) & 1
                 at = at + width
-            stop = at[:, None] + np.cumsum(size, axis=1) - size + q
+            end = at[:, None] + np.cumsum(size + boundary, axis=1)
+            stop = end - size + q
             bits[stop] = 1
             for j in range(kk):
                 bits[stop + 1 + j] = (u >> np.uint32(kk - 1 - j)) & 1
+            for edge in np.flatnonzero(boundary).tolist():
+                for j in range(4):
+                    bits[end[:, edge] - size[:, edge] - 4 + j] = (kk >> (3 - j)) & 1
             packed = np.packbits(bits).tobytes()
             for i, a, b in zip(rows.tolist(), base[:-1].tolist(), base[1:].tolist()):
                 body[i] = packed[a:b]
@@ -388,44 +425,49 @@ def flac_encode(docs: DataFrame) -> DataFrame:
     return _map(docs.select(F.col("doc_id").cast("long"), "text"), "text", work, "doc_id long, n_bytes long, media binary")
 
 
-def pcm_blocks(media: DataFrame) -> DataFrame:
-    """(doc_id, block, sample_offset, byte_offset, pcm) for each frame of each row's media."""
+def pcm_columns(media: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media, blocks): each row's media with its PCM blocks, as (sample_offset, byte_offset, pcm) in order."""
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        ids, block, sample, byte, pcm = [], [], [], [], []
-        for i, (raw, offsets) in zip(part.column(0).to_pylist(), decode_streams(part.column(1).to_pylist())):
-            n = len(offsets)
-            ids += [i] * n
-            block += range(n)
-            sample += range(0, n * BLOCK, BLOCK)
+        sample, byte, pcm, first = [], [], [], [0]
+        for raw, offsets in decode_streams(part.column(2).to_pylist()):
+            sample += range(0, len(raw), BLOCK)
             byte += offsets.tolist()
             pcm += [raw[a : a + BLOCK] for a in range(0, len(raw), BLOCK)]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(block, pa.int64()), pa.array(sample, pa.int64()), pa.array(byte, pa.int64()), pa.array(pcm, pa.binary())], names=["doc_id", "block", "sample_offset", "byte_offset", "pcm"])
+            first.append(len(pcm))
+        block = pa.StructArray.from_arrays([pa.array(sample, pa.int64()), pa.array(byte, pa.int64()), pa.array(pcm, pa.binary())], names=["sample_offset", "byte_offset", "pcm"])
+        return pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(first, pa.int32()), block)], names=["doc_id", "n_bytes", "media", "blocks"])
 
-    return _map(media.select("doc_id", "media"), "media", work, "doc_id long, block long, sample_offset long, byte_offset long, pcm binary")
+    return _map(media.select("doc_id", "n_bytes", "media"), "media", work, "doc_id long, n_bytes long, media binary, blocks array<struct<sample_offset: long, byte_offset: long, pcm: binary>>")
+
+
+def pcm_blocks(media: DataFrame) -> DataFrame:
+    """(doc_id, block, sample_offset, byte_offset, pcm) for each frame of each row's media."""
+    return pcm_columns(media).select("doc_id", F.posexplode("blocks").alias("block", "b")).select("doc_id", F.col("block").cast("long").alias("block"), "b.sample_offset", "b.byte_offset", "b.pcm")
 
 
-def flac_digests(media: DataFrame) -> DataFrame:
-    """Digests of each row's media (doc_id, n_bytes, media) and of the payload that is decoded from it."""
+def block_digests(columns: DataFrame) -> DataFrame:
+    """Digests of each row's media and of the payload that its PCM blocks make up."""
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        stored = part.column(2).to_pylist()
-        found = decode_streams(stored)
+        stored, lists = part.column(2).to_pylist(), part.column(3)
+        pcm, first = lists.flatten().field("pcm").to_pylist(), [0, *np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).tolist()]
+        found = [b"".join(pcm[a:b]) for a, b in zip(first, first[1:])]
         return pa.RecordBatch.from_pydict(
             {
                 "doc_id": part.column(0),
                 "n_bytes": part.column(1),
-                "payload_bytes": pa.array([len(p) for p, _ in found], pa.int64()),
-                "payload_sha256": pa.array([hashlib.sha256(p).hexdigest() for p, _ in found]),
-                "tail_crc32": pa.array([zlib.crc32(p[-32:]) for p, _ in found], pa.int64()),
+                "payload_bytes": pa.array([len(p) for p in found], pa.int64()),
+                "payload_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in found]),
+                "tail_crc32": pa.array([zlib.crc32(p[-32:]) for p in found], pa.int64()),
                 "media_bytes": pa.array([len(m) for m in stored], pa.int64()),
                 "media_sha256": pa.array([hashlib.sha256(m).hexdigest() for m in stored]),
-                "feature": pa.array([feature_of(p, len(o)) for p, o in found]),
+                "feature": pa.array([feature_of(p, b - a) for p, a, b in zip(found, first, first[1:])]),
             }
         )
 
-    return _map(media.select("doc_id", "n_bytes", "media"), "media", work, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return _map(columns.select("doc_id", "n_bytes", "media", "blocks"), "media", work, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op4_flac_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac_digests(flac_encode(table(spark, sf_dir, "documents")))
+    return block_digests(pcm_columns(flac_encode(table(spark, sf_dir, "documents"))))
