@@ -49,6 +49,40 @@ def sanitize(c: Column) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(c, " ", "_"), r"[^A-Za-z0-9._-]", "_"), 1, 200)
 
 
+def _accent_table() -> tuple[str, str]:
+    """Letters with accents of the Latin, Greek and Cyrillic blocks, and the letters without, by Unicode's decomposition."""
+    import unicodedata
+
+    found = []
+    for code in (*range(0xC0, 0x530), *range(0x1E00, 0x2000)):
+        bare = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        if len(bare) == 1 and bare != chr(code) and bare.isalpha() and chr(code).isalpha():
+            found.append((chr(code), bare))
+    return "".join(a for a, _ in found), "".join(b for _, b in found)
+
+
+def strip_accents(c: Column) -> Column:
+    """Letters without their accents; combining marks go. One pass of translate, no Python."""
+    return F.regexp_replace(F.translate(c, *_accent_table()), r"\p{Mn}+", "")
+
+
+def extension_of(url: Column, default: str = "html") -> Column:
+    """The file extension of a URL or path, without query and fragment, in lower case."""
+    bare = F.regexp_replace(url, r"[?#].*$", "")
+    return F.lower(F.coalesce(F.nullif(F.regexp_extract(bare, r"[.]([A-Za-z0-9]{2,4})$", 1), F.lit("")), F.lit(default)))
+
+
+#: Extensions of the content types that assets come in.
+EXTENSIONS = {"image/jpeg": "jpg", "image/png": "png", "image/gif": "gif", "image/webp": "webp", "video/mp4": "mp4", "application/vnd.apple.mpegurl": "m3u8", "application/x-mpegURL": "m3u8"}
+
+
+def extension_of_type(content_type: Column, url: Column, default: str = "bin") -> Column:
+    """By content type where it is known, else by the URL."""
+    kind = F.lower(F.trim(F.substring_index(content_type, ";", 1)))
+    known = F.create_map(*[F.lit(x) for k, v in EXTENSIONS.items() for x in (k.lower(), v)])
+    return F.coalesce(F.try_element_at(known, kind), extension_of(url, default))
+
+
 def bm25_tokens(c: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(c), _PUNCT, ""), r"\s+"), lambda x: x != "")
 
@@ -67,14 +101,13 @@ def word_ngrams(words: Column, n: int) -> Column:
 
 
 def merge_spans(spans: Column) -> Column:
-    """The union of [s, e) spans that overlap or touch; ``spans`` is an array of struct(s, e)."""
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
-        return F.when(F.size(acc) == 0, F.array(x)).when(x["s"] <= last["e"], joined).otherwise(F.concat(acc, F.array(x)))
-
-    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<s:int,e:int>>"), step)
+    """The union of [s, e) spans that overlap or touch; ``spans`` is an array of struct(s, e). A span opens an island where all
+    before it end earlier, so an island ends where the longest reach up to the next opening does."""
+    x = F.array_sort(spans)
+    reach = lambda i: F.array_max(F.transform(F.slice(x, 1, i), lambda y: y["e"]))
+    opens = F.filter(F.transform(x, lambda y, i: F.when((i == 0) | (y["s"] > F.coalesce(reach(F.greatest(i, F.lit(1))), y["s"])), i)), lambda i: i.isNotNull())
+    last = lambda k: F.coalesce(F.get(opens, k + 1), F.size(x))
+    return F.transform(opens, lambda i, k: F.struct(F.get(x, i)["s"].alias("s"), reach(last(k)).alias("e")))
 
 
 def keyword_spans(c: Column, keyword: str, reach: int = 200) -> Column:

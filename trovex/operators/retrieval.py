@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trovex.functions.text import bm25_tokens, word_tokens
+from trovex.functions.text import bm25_tokens, strip_accents, word_tokens
 
 
 def _terms(df: DataFrame, key: str, tokens: Column) -> DataFrame:
@@ -15,36 +15,41 @@ def _terms(df: DataFrame, key: str, tokens: Column) -> DataFrame:
 def bm25(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, text: str = "text", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """(query_id, doc_id, score) of Okapi BM25 for pairs that share a term. Negative idf becomes ``epsilon`` times the mean idf.
 
-    Only postings of the queries' terms are kept before the join, so frequent words of the corpus that no query holds
-    never travel; a document's length rides along with its postings.
+    Document frequencies are counted from each document's distinct words, added up before they travel. Only words that
+    some query holds become postings, so no other word of the corpus is grouped or shuffled; a document's length rides
+    along. Frequent query words are hot join keys, which adaptive execution splits. Null texts hold no word.
     """
     words = docs.select(F.col(doc_key).alias("doc_id"), bm25_tokens(F.col(text)).alias("w"))
-    postings = words.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    totals = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(totals).select("term", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    totals = words.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.size("w"), F.lit(0))).alias("avgdl"))
+    df = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = df.join(totals, F.lit(True)).select("term", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = idf.agg(F.avg("raw").alias("mean"))
-    idf = idf.crossJoin(mean).select("term", "avgdl", F.when(F.col("raw") < 0, F.col("mean") * epsilon).otherwise(F.col("raw")).alias("idf"))
     q = _terms(queries, query_key, bm25_tokens(F.col(text))).select(F.col("id").alias("query_id"), "term", F.col("tf").alias("qtf"))
+    wanted = q.select("term").distinct()
+    idf = idf.join(wanted, "term", "left_semi").join(mean, F.lit(True)).select("term", "avgdl", F.when(F.col("raw") < 0, F.col("mean") * epsilon).otherwise(F.col("raw")).alias("idf"))
+    postings = words.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(wanted, "term", "left_semi")
+    postings = postings.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     hits = q.join(idf, "term").join(postings, "term")
     weight = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
 
 
 def tfidf(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, text: str = "text", max_df: float = 0.95) -> DataFrame:
-    """(query_id, doc_id, score): cosine of sublinear tf-idf vectors fitted on the documents; terms of more than ``max_df`` of them are dropped."""
-    d = _terms(docs, doc_key, word_tokens(F.col(text)))
+    """(query_id, doc_id, score): cosine of sublinear tf-idf vectors fitted on the documents; terms of more than ``max_df`` of
+    them are dropped, accents are stripped.
+
+    A document's norm needs all its terms, but only those that a query holds are joined with the queries.
+    """
+    tokens = word_tokens(strip_accents(F.col(text)))
+    d = _terms(docs, doc_key, tokens)
     n = docs.agg(F.count("*").alias("n"))
-    df = d.groupBy("term").agg(F.count("*").alias("df")).crossJoin(n).where(F.col("df") <= max_df * F.col("n"))
+    df = docs.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count("*").alias("df")).join(n, F.lit(True)).where(F.col("df") <= max_df * F.col("n"))
     idf = df.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-
-    def vectors(t: DataFrame) -> DataFrame:
-        w = t.join(idf, "term").select("id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-        norm = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        return w.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
-
-    x = vectors(_terms(queries, query_key, word_tokens(F.col(text)))).select(F.col("id").alias("query_id"), "term", F.col("w").alias("wq"))
-    y = vectors(d).select(F.col("id").alias("doc_id"), "term", F.col("w").alias("wd"))
+    weighed = lambda t: t.join(idf, "term").select("id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    norms = lambda w: w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    q, w = weighed(_terms(queries, query_key, tokens)), weighed(d)
+    x = q.join(norms(q), "id").select(F.col("id").alias("query_id"), "term", (F.col("w") / F.col("norm")).alias("wq"))
+    y = w.join(q.select("term").distinct(), "term", "left_semi").join(norms(w), "id").select(F.col("id").alias("doc_id"), "term", (F.col("w") / F.col("norm")).alias("wd"))
     return x.join(y, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("score"))
 
 
@@ -63,10 +68,32 @@ def ranked(scores: DataFrame, k: int | None = None, places: int = 4) -> DataFram
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-def metrics(scores: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
-    """One row of MRR and MAP@k, nDCG@k over queries with a positive. Only relevant rows are ranked past the largest k: a
-    relevant document's rank is 1 plus the rows above it, and documents without a score come last."""
-    r = ranked(scores).join(qrels.withColumn("rel", F.lit(1)), ["query_id", "doc_id"], "left").where("rel = 1")
+def passage_matches(docs: DataFrame, passages: DataFrame, doc_key: str = "doc_id", passage_key: str = "item_id", text: str = "text") -> DataFrame:
+    """(query_id, doc_id): which documents hold which passage, character by character.
+
+    A passage's inner words, between blanks, are whole words of every document that holds it; the longest of them leads to
+    the documents worth a look. Passages of fewer than three words have none and are held against all documents.
+    """
+    inner = F.slice(F.split(text, " "), 2, F.greatest(F.size(F.split(text, " ")) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    p = passages.where(F.col(text).isNotNull()).select(F.col(passage_key).alias("query_id"), F.col(text).alias("said"), F.nullif(longest, F.lit("")).alias("word"))
+    d = docs.select(F.col(doc_key).alias("doc_id"), F.col(text).alias("body"))
+    led = p.where("word is not null")
+    at = d.select("doc_id", F.explode(F.array_distinct(F.split("body", " "))).alias("word")).join(led.select("word").distinct(), "word", "left_semi")
+    pairs = at.join(led, "word").select("query_id", "doc_id", "said").join(d, "doc_id")
+    short = d.join(p.where("word is null"), F.contains("body", "said"))
+    found = pairs.where(F.contains("body", "said")).select("query_id", "doc_id")
+    return found.unionByName(short.select("query_id", "doc_id"))
+
+
+def metrics(scores: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (5, 10, 20), places: int = 4) -> DataFrame:
+    """One row of MRR and MAP@k, nDCG@k over queries with a positive. No ranking is sorted: a relevant document's rank is 1 plus
+    the rows above it, which are counted, added up before they travel. Documents without a score come last."""
+    s = scores.select("query_id", "doc_id", (F.round("score", places) + F.lit(0.0)).alias("score"))
+    rel = s.join(qrels.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"])
+    mine = rel.select("query_id", F.col("doc_id").alias("rel_doc"), F.col("score").alias("rel_score"))
+    better = (F.col("score") > F.col("rel_score")) | ((F.col("score") == F.col("rel_score")) & (F.col("doc_id") <= F.col("rel_doc")))
+    r = s.join(mine, "query_id").where(better).groupBy("query_id", "rel_doc").agg(F.count("*").alias("rank"))
     w = Window.partitionBy("query_id").orderBy("rank")
     r = r.withColumn("hits", F.row_number().over(w))
     positives = qrels.groupBy("query_id").agg(F.count("*").alias("total"))

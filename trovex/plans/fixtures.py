@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trovex.operators.retrieval import passage_matches
+
 PRODUCTS = """select p_partkey as ord, concat('P', cast(p_partkey % 1900 as STR)) as product_id,
  case when p_partkey % 97 = 0 then '  ' else p_name end as title, p_brand as brand, p_size as size, p_type as ptype,
  concat('src', cast(p_size % 5 as STR), '.jsonl.gz') as source_file,
@@ -11,7 +13,7 @@ PRODUCTS = """select p_partkey as ord, concat('P', cast(p_partkey % 1900 as STR)
   when p_partkey % 3 = 0 then concat(' Covered by U.S. Pat. No. ', cast(7000000 + p_partkey as STR), 'B2 and D', cast(600000 + p_partkey as STR), ' .')
   when p_partkey % 3 = 1 then concat(' made with patent pending design ', cast(p_size as STR)) else '' end) as features
  from part"""
-PAIRS = """select row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) as ord,
+PAIRS = """select HASH60(concat_ws('|', cast(l_orderkey as STR), cast(l_linenumber as STR), cast(l_partkey as STR), cast(l_suppkey as STR), cast(cast(floor(l_quantity) as bigint) as STR), cast(cast(floor(l_extendedprice * 100) as bigint) as STR))) as ord,
  concat('P', cast(l_partkey as STR)) as product_id,
  case when l_orderkey % 41 = 0 then '' else concat(case when l_suppkey % 9 = 0 then 'D' else '' end, cast(7000000 + l_orderkey % 500 as STR)) end as patent_number,
  case l_suppkey % 5 when 0 then 'EP' when 1 then 'CN' when 2 then '' else 'US' end as country_code,
@@ -36,6 +38,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A generic table or a view above it."""
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name == "fx_qrels":
+        return passage_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return run_sql(spark, sf_dir, VIEWS[name][0])
 
 
@@ -43,7 +47,7 @@ def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Runs SQL over the tables and views it names; nothing stays registered."""
     import re
 
-    sql = sql.replace("STR", "string")
+    sql = re.sub(r"HASH60\((.*)\) as ord", r"cast(conv(substring(md5(\1), 1, 15), 16, 10) as bigint) as ord", sql).replace("STR", "string")
     used = [n for n in (*TABLES, *VIEWS) if re.search(rf"\b{n}\b", sql)]
     for n in used:
         sql = re.sub(rf"(?<=\bfrom ){n}\b|(?<=\bjoin ){n}\b|(?<=, ){n}(?= [a-z]\b)", f"{{{n}}}", sql)
@@ -54,9 +58,10 @@ def duck(sql: str) -> str:
     """The SQL for DuckDB, its views as common table expressions."""
     import re
 
-    sql = sql.replace("STR", "varchar").strip()
+    own = lambda x: re.sub(r"HASH60\((.*)\) as ord", r"cast('0x' || substring(md5(\1), 1, 15) as bigint) as ord", x).replace("STR", "varchar")
+    sql = own(sql).strip()
     names = [n for n in VIEWS if re.search(rf"\b{n}\b", sql)]
-    heads = ", ".join(f"{n} as ({VIEWS[n][0].replace('STR', 'varchar')})" for n in names)
+    heads = ", ".join(f"{n} as ({own(VIEWS[n][0])})" for n in names)
     if not names:
         return sql
     return f"with {heads}, {sql[5:]}" if sql.lower().startswith("with ") else f"with {heads} {sql}"

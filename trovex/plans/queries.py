@@ -9,25 +9,25 @@ from pyspark.sql import functions as F
 
 from trovex.functions import citations as C
 from trovex.functions import text as X
+from trovex.operators import assets as A
 from trovex.operators import claims as K
 from trovex.operators import corpus as U
+from trovex.operators import enrich as E
 from trovex.operators import masking as M
 from trovex.operators import merge as G
+from trovex.operators import pages as P
 from trovex.operators import retrieval as R
 from trovex.operators.order import first_wins, last_wins
-from trovex.plans.fixtures import duck, run_sql, table
+from trovex.operators.records import normalize_products
+from trovex.plans.fixtures import duck, table
+from trovex.plans.scratch import round_trip
+from trovex.sources import readers as SR
 from trovex.streaming.manifest import latest_entries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def both(name: str, sql: str) -> None:
-    """One SQL text for both engines."""
-    QUERIES[name] = lambda spark, sf_dir: run_sql(spark, sf_dir, sql)
-    ORACLES[name] = duck(sql)
-
-
 def query(sql: str | None = None):
     """Registers a function (t -> DataFrame, where t(name) is a table) with its SQL for DuckDB."""
 
@@ -43,17 +43,35 @@ def query(sql: str | None = None):
 # --- ingest -----------------------------------------------------------------------------------------------------------
 
 
-@query("select product_id, arg_min(title, ord) as title, arg_min(brand, ord) as brand, arg_min(features, ord) as description from fx_products where size % 3 <> 0 group by product_id")
+@query("select product_id as parent_asin, coalesce(trim(arg_min(title, ord)), '') as title, 'Brand=' || arg_min(brand, ord) as details, arg_min(features, ord) as description from fx_products where size % 3 <> 0 group by product_id")
 def convert_catalog(t):
-    rows = t("fx_products").where("size % 3 <> 0")
-    return first_wins(rows, ["product_id"]).select("product_id", "title", "brand", F.col("features").alias("description"))
+    catalog = t("fx_products").select("ord", "product_id", F.when(F.col("size") % 3 != 0, "us").otherwise("es").alias("product_locale"), F.col("title").alias("product_title"), F.col("features").alias("product_description"), F.col("brand").alias("product_brand"))
+    rows = SR.convert_catalog(catalog)
+    return rows.select("parent_asin", "title", F.concat(F.lit("Brand="), F.col("details")["Brand"]).alias("details"), F.get("description", F.lit(0)).alias("description"))
 
 
-@query("select coalesce(case when ord % 5 = 0 then null else product_id end, 'A' || ord::varchar) as product_id, title, brand as d_brand, size::varchar as d_size from fx_products where ord % 11 <> 0")
+@query("""select case when ord % 5 = 0 then 'A' || ord::varchar else product_id end as product_id, title, brand as d_brand, size::varchar as d_size, case when ord % 2 = 0 then 'red' end as d_color
+ from fx_products""")
 def normalize_product(t):
-    raw = t("fx_products").select(F.when(F.col("ord") % 5 != 0, F.col("product_id")).alias("product_id"), F.concat(F.lit("A"), "ord").alias("asin"), "title", "brand", "size")
-    details = F.create_map(F.lit("brand"), F.col("brand"), F.lit("size"), F.col("size").cast("string"))
-    return raw.select(F.coalesce("product_id", "asin").alias("product_id"), "title", details.alias("d")).where("product_id is not null").select("product_id", "title", F.col("d")["brand"].alias("d_brand"), F.col("d")["size"].alias("d_size"))
+    p = t("fx_products")
+    own = F.when(F.col("ord") % 5 != 0, F.concat(F.lit('"'), "product_id", F.lit('"')))
+    part = lambda k, v: F.concat(F.lit(f'"{k}":'), v)
+    text = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    details = F.when(F.col("ord") % 2 == 0, part("details", F.lit('{"color":"red","brand":"old"}')))
+    value = F.concat(F.lit("{"), F.concat_ws(",", part("product_id", own), part("asin", F.concat(F.lit('"A'), F.col("ord").cast("string"), F.lit('"'))), part("title", text(F.col("title"))), part("brand", text(F.col("brand"))), part("size", F.col("size").cast("string")), details), F.lit("}"))
+    rows = normalize_products(p.select(value.alias("value")))
+    return rows.select("product_id", "title", *[F.col("details")[k].alias(f"d_{k}") for k in ("brand", "size", "color")])
+
+
+@query("select doc_id, quality::bigint as quality, toxic::bigint as toxic from labels")
+def src_jsonl(t):
+    return round_trip(t("labels").select("doc_id", "quality", "toxic"), "doc_id long, quality long, toxic long").drop("ord", "source_file", "raw_hash")
+
+
+@query("select conv_id, turn::bigint as turn, role, md5(text) as h from conversations")
+def src_jsonl_gz(t):
+    rows = round_trip(t("conversations").select("conv_id", "turn", "role", "text"), "conv_id long, turn long, role string, text string", gzip=True)
+    return rows.select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("h"))
 
 
 @query("select conv_id, turn, array_to_string(list_filter(list_transform(string_split(replace(text, '. ', chr(10)), chr(10)), lambda x: trim(x)), lambda x: x <> ''), '|') as b from conversations")
@@ -101,7 +119,9 @@ def pair_dedup(t):
     return first_wins(rows.where("patent_number <> ''"), ["product_id", "patent_number"]).unionByName(rows.where("patent_number = ''"))
 
 
-both("patent_id", "select ord, concat(upper(country_code), patent_number, upper(kind_code)) as patent_id from fx_pairs")
+@query("select ord, concat(upper(country_code), patent_number, upper(kind_code)) as patent_id from fx_pairs")
+def patent_id(t):
+    return t("fx_pairs").select("ord", X.patent_id(F.col("country_code"), F.col("patent_number"), F.col("kind_code")).alias("patent_id"))
 
 
 @query(r"select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, regexp_extract(upper(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), ' ', '')), '([A-Z]{1,3}[0-9]{4,})([A-Z][0-9]{0,2})', 2) as kind from pages")
@@ -214,14 +234,63 @@ def active_filter(t):
     return t("fx_pairs").where(G.is_active(F.col("legal_status"))).select("ord", "legal_status")
 
 
-both("us_subset", "select ord, product_id, patent_number from fx_pairs where country_code = 'US'")
-both("design_split", "select ord, patent_number, upper(patent_number) like 'D%' as is_design from fx_pairs")
-both("country_hist", "select country_code, count(*) as n from fx_pairs group by country_code order by n desc, country_code")
-both("avg_pairs", "select cast(count(*) as double) / greatest(count(distinct patent_number), 1) as pairs_per_patent from fx_pairs where patent_number <> ''")
-both("coverage_labels", "select d.lang, d.source, count(*) as n, count(l.quality) as labelled, count(case when l.toxic = 1 then 1 end) as toxic from documents d left join labels l on d.doc_id = l.doc_id group by d.lang, d.source")
-both("ids_intersect", "select product_id from fx_products intersect select product_id from fx_pairs")
-both("ids_union", "select product_id from fx_products union select product_id from fx_pairs")
-both("ids_except", "select product_id from fx_products except select product_id from fx_pairs")
+@query("select ord, product_id, patent_number from fx_pairs where country_code = 'US'")
+def us_subset(t):
+    return G.us_only(t("fx_pairs")).select("ord", "product_id", "patent_number")
+
+
+@query("select ord, patent_number, upper(patent_number) like 'D%' as is_design from fx_pairs")
+def design_split(t):
+    return t("fx_pairs").select("ord", "patent_number", U.is_design().alias("is_design"))
+
+
+@query("select country_code, count(*) as n from fx_pairs group by country_code")
+def country_hist(t):
+    return G.country_histogram(t("fx_pairs"))
+
+
+@query("select cast(count(*) as double) / greatest(count(distinct patent_number), 1) as pairs_per_patent from fx_pairs where trim(patent_number) <> ''")
+def avg_pairs(t):
+    return G.per_patent(t("fx_pairs"))
+
+
+@query("select d.lang, d.source, count(*) as n, count(l.quality) as labelled, count(case when l.toxic = 1 then 1 end) as toxic from documents d left join labels l on d.doc_id = l.doc_id group by d.lang, d.source")
+def coverage_labels(t):
+    rows = t("documents").select("doc_id", "lang", "source").join(t("labels"), "doc_id", "left")
+    return rows.groupBy("lang", "source").agg(F.count("*").alias("n"), F.count("quality").alias("labelled"), F.count_if(F.col("toxic") == 1).alias("toxic"))
+
+
+@query("select product_id from fx_products intersect select product_id from fx_pairs")
+def ids_intersect(t):
+    return t("fx_products").select("product_id").intersect(t("fx_pairs").select("product_id"))
+
+
+@query("select product_id from fx_products union select product_id from fx_pairs")
+def ids_union(t):
+    return t("fx_products").select("product_id").union(t("fx_pairs").select("product_id")).distinct()
+
+
+@query("select product_id from fx_products except select product_id from fx_pairs")
+def ids_except(t):
+    return t("fx_products").select("product_id").subtract(t("fx_pairs").select("product_id"))
+
+
+@query("""select count(*) as total, count(distinct concat_ws('|', country_code, patent_number, kind_code)) as unique_patents, count(distinct product_id) as unique_products, count(*) filter (trim(product_title) <> '') as has_title,
+ count(*) filter (has_abstract) as has_abstract, count(*) filter (has_images) as has_patent_images, count(*) filter (has_abstract and trim(product_title) <> '') as text_text, count(*) filter (has_images and ord % 2 = 0) as image_image, count(*) filter (has_abstract and ord % 2 = 0) as patent_text_product_image
+ from (select f.*, p.title as product_title from fx_pairs f left join (select product_id, arg_max(title, ord) as title from fx_products group by product_id) p using (product_id))""")
+def full_coverage(t):
+    p = last_wins(t("fx_products"), ["product_id"]).select("product_id", F.col("title").alias("product_title"))
+    some = lambda c: F.when(c, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    rows = t("fx_pairs").join(p, "product_id", "left").withColumns({"abstract": F.when(F.col("has_abstract"), "said").otherwise(" "), "images": some(F.col("has_images")), "product_images": some(F.col("ord") % 2 == 0)})
+    return G.coverage_stats(rows).select("total", "unique_patents", "unique_products", "has_title", "has_abstract", "has_patent_images", "text_text", "image_image", "patent_text_product_image")
+
+
+@query(f"""with f as (select * from fx_pairs qualify row_number() over (partition by country_code, patent_number, kind_code order by ord) = 1), x as (select *, {_LABEL} as l, legal_status = 'Expired' as failed from f)
+ select coalesce(l, 'TOTAL') as label, count(*) as total, count(*) filter (failed) as fetch_failed, count(*) filter (not failed and has_abstract) as has_abstract, 0::bigint as has_description, 0::bigint as has_claims, count(*) filter (not failed and has_images) as has_images from x group by rollup(l)""")
+def fetch_coverage(t):
+    whole = F.create_map(F.lit("DC.title"), F.col("patent_title"))
+    rows = t("fx_pairs").withColumns({"bibliographic": whole, "error": F.when(F.col("legal_status") == "Expired", "HTTP 404"), "abstract": F.when(F.col("has_abstract"), "said"), "images": F.when(F.col("has_images"), F.array(F.lit("x")))})
+    return G.info_coverage(rows)
 
 
 @query("select ord, country_code, patent_number, kind_code, md5(country_code || patent_number || kind_code || '#42') as draw from fx_pairs where country_code <> '' and patent_number <> '' and kind_code <> '' qualify row_number() over (partition by country_code, patent_number, kind_code order by ord) = 1 order by draw limit 20")
@@ -252,9 +321,9 @@ def corpus_metadata(t):
     return U.build_corpus(_merged(t))[3]
 
 
-@query("select ord, array_to_string(list_filter(list_transform(string_split(brand || ' ; unknown; ' || ptype, ';'), lambda x: trim(x)), lambda x: lower(x) not in ('', 'individual', 'unknown', 'n/a')), '|') as names from fx_products")
+@query(r"select ord, array_to_string(list_filter(list_transform(string_split(brand || ' ; unknown; ' || ptype, ';'), lambda x: trim(x)), lambda x: lower(x) not in ('', 'individual', 'unknown', 'n/a')), '|') as names from fx_products where length(brand) >= length(ptype) union all select ord, ptype || '|' || brand from fx_products where length(brand) < length(ptype)")
 def entity_names(t):
-    return t("fx_products").select("ord", F.array_join(U.split_names(F.concat("brand", F.lit(" ; unknown; "), "ptype")), "|").alias("names"))
+    return t("fx_products").select("ord", F.array_join(U.entity_list(U.split_names(F.concat("brand", F.lit(" ; unknown; "), "ptype", F.lit(" and "), F.upper("brand")))), "|").alias("names"))
 
 
 @query(_MERGED + """ , m as (select distinct patent_number, product_id from merged), b as (select product_id, arg_min(brand, ord) as brand from merged group by product_id),
@@ -267,9 +336,9 @@ def cross_entities(t):
     return U.cross_entities(merged.select("patent_number", "product_id").distinct(), left, right, "patent_number", "product_id").select("patent_number", F.array_join("names", "|").alias("names"))
 
 
-@query("select event_id, 'DC.title=' || event_type || '|publicationNumber=' || event_id::varchar as kept from events")
+@query("select event_id, 'DC.title=' || event_type || '|applicationNumber=' || user_id::varchar || '|legalStatusIfi=Active|publicationNumber=' || event_id::varchar as kept from events")
 def biblio_prune(t):
-    whole = F.create_map(F.lit("DC.title"), F.col("event_type"), F.lit("applicationNumber"), F.col("user_id").cast("string"), F.lit("publicationNumber"), F.col("event_id").cast("string"))
+    whole = F.create_map(F.lit("DC.title"), F.col("event_type"), F.lit("applicationNumber"), F.col("user_id").cast("string"), F.lit("events"), F.lit("x"), F.lit("legalStatusIfi"), F.lit("Active"), F.lit("id"), F.lit("y"), F.lit("publicationNumber"), F.col("event_id").cast("string"))
     kept = F.transform(F.map_entries(U.prune_keys(whole)), lambda e: F.concat_ws("=", e["key"], e["value"]))
     return t("events").select("event_id", F.array_join(F.array_sort(kept), "|").alias("kept"))
 
@@ -287,8 +356,18 @@ def flatten_text(t):
     return t("part").select("p_partkey", X.flatten_text(F.array("p_name", "p_type")).alias("flat"))
 
 
-both("product_text", "select ord, concat_ws(' ', nullif(trim(title), ''), nullif(features, ''), nullif(brand, '')) as body from fx_products")
-both("patent_text", "select ord, concat_ws(' ', nullif(patent_title, ''), nullif(legal_status, '')) as body from fx_pairs")
+@query("select ord, concat_ws(' ', nullif(trim(title), ''), case when ord % 4 = 0 then nullif(brand, '') else nullif(features, '') end, 'made well') as body from fx_products")
+def product_text(t):
+    rows = t("fx_products").select("ord", "title", F.col("features").alias("description"), F.when(F.col("ord") % 4 == 0, F.col("brand")).alias("description_masked"), F.array(F.lit(" made well "), F.lit("  ")).alias("features"))
+    return rows.select("ord", U.product_text(rows, masked=True).alias("body"))
+
+
+@query("select ord, concat_ws(' ', nullif(patent_title, ''), legal_status, '1. A thing', case when has_images then 'masked' else '2. Another' end) as body from fx_pairs")
+def patent_text(t):
+    claim = lambda x, m: F.struct(F.lit(x).alias("text"), m.alias("text_masked"))
+    claims = F.array(claim("1. A thing", F.lit(None).cast("string")), claim("2. Another", F.when(F.col("has_images"), "masked")))
+    rows = t("fx_pairs").select("ord", F.col("patent_title").alias("title"), F.col("legal_status").alias("abstract"), claims.alias("claims"))
+    return rows.select("ord", U.patent_text(rows, masked=True).alias("body"))
 
 
 @query("select o_orderkey, replace(trim(format('{:,}', o_orderkey * 7919)), ' ', '') as grouped from orders")
@@ -306,9 +385,9 @@ def hashes(t):
     return t("documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("m"), F.sha2(F.col("text").cast("binary"), 256).alias("s"))
 
 
-@query("select page_id, coalesce(nullif(regexp_extract(url, '[.]([a-z0-9]{2,4})$', 1), ''), 'html') as ext from pages")
+@query("select page_id, lower(coalesce(nullif(regexp_extract(regexp_replace(url, '[?#].*$', ''), '[.]([A-Za-z0-9]{2,4})$', 1), ''), 'html')) as ext from pages")
 def guess_ext(t):
-    return t("pages").select("page_id", F.coalesce(F.nullif(F.regexp_extract("url", "[.]([a-z0-9]{2,4})$", 1), F.lit("")), F.lit("html")).alias("ext"))
+    return t("pages").select("page_id", X.extension_of(F.col("url")).alias("ext"))
 
 
 _BM = r"list_filter(regexp_split_to_array(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\s+'), lambda x: x <> '')"
@@ -319,9 +398,9 @@ def bm25_tokens(t):
     return t("benchmark").select("item_id", F.array_join(X.bm25_tokens(F.col("text")), " ").alias("tokens"))
 
 
-@query(r"select item_id, array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), ' ') as tokens from benchmark")
+@query(r"select item_id, array_to_string(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}_]+'), ' ') as tokens from benchmark")
 def tfidf_tokens(t):
-    return t("benchmark").select("item_id", F.array_join(X.word_tokens(F.col("text")), " ").alias("tokens"))
+    return t("benchmark").select("item_id", F.array_join(X.word_tokens(X.strip_accents(F.col("text"))), " ").alias("tokens"))
 
 
 _DF = "with w as (select unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) as token from documents), d as (select token, count(*) as df from w group by token)"
@@ -352,28 +431,53 @@ def merge_spans(t):
     return s.groupBy("k").agg(F.collect_list("x").alias("a")).select("k", F.explode(X.merge_spans(F.col("a"))).alias("m")).select("k", "m.s", "m.e")
 
 
-both("array_dedup", "select conv_id, count(distinct text) as n from conversations group by conv_id")
-both("len_profile", "select min(n_chars) as lo, max(n_chars) as hi, avg(n_chars) as mean from (select n_chars from documents order by doc_id limit 10)")
+@query("select conv_id, count(distinct text) as n from conversations group by conv_id")
+def array_dedup(t):
+    return t("conversations").groupBy("conv_id").agg(F.size(F.collect_set("text")).cast("long").alias("n"))
+
+
+@query("select min(n_chars) as lo, max(n_chars) as hi, avg(n_chars) as mean from (select n_chars from documents order by doc_id limit 10)")
+def len_profile(t):
+    first = t("documents").orderBy("doc_id").limit(10)  # a profile of the first ten is the feature
+    return first.agg(F.min("n_chars").alias("lo"), F.max("n_chars").alias("hi"), F.avg("n_chars").alias("mean"))
 
 
 # --- masking ----------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query("select ord, case ord % 3 when 0 then split_part(features, ' Covered by', 1) || ' Covered by U.S. Pat. No..' else features end as masked from fx_products")
 def mask_numbers(t):
     return t("fx_products").select("ord", M.mask_patent_numbers(F.col("features")).alias("masked"))
 
 
-@query()
+@query("select ord, case ord % 3 when 0 then split_part(features, ' Covered by', 1) || ' Covered by U.S. Pat. No. and D' || (600000 + ord)::varchar || '.' else features end as masked from fx_products")
 def known_number_mask(t):
     return t("fx_products").select("ord", M.mask_known_number(F.col("features"), (7000000 + F.col("ord")).cast("string")).alias("masked"))
 
 
-@query()
+@query("select ord, case when ord % 97 = 0 then replace(features, ' .', '.') else trim(replace(replace(features, ' .', '.'), title, '')) end as masked from fx_products")
 def mask_exact(t):
     return t("fx_products").select("ord", M.mask_names(F.col("features"), F.array("title", "brand")).alias("masked"))
 
 
+@query("select ord, case when ord % 97 = 0 then replace(features, ' .', '.') else trim(replace(replace(features, ' .', '.'), title, '')) end as masked from fx_products")
+def mask_titles(t):
+    return t("fx_products").select("ord", M.mask_titles(F.col("features"), F.array(F.replace("title", F.lit(" "), F.lit("  ")))).alias("masked"))
+
+
+_NAME_WORDS = """n as (select distinct p_name as name from part), tk as (select lower(p_name) as x from part), sh as (select w as token, count(*) / (select count(*) from part) as share from (select unnest(list_distinct(regexp_extract_all(x, '[a-z0-9]+'))) as w from tk) group by w),
+ w as (select name, regexp_extract_all(name, '[A-Za-z0-9]+') as l from n), e as (select name, len(l) as n, unnest(range(len(l))) as pos, unnest(l) as word from w),
+ g as (select e.*, coalesce(share, 0) as share from e left join sh on sh.token = lower(word) where coalesce(share, 0) <= 0.1), r as (select *, row_number() over (partition by name order by pos) as k from g),
+ c as (select a.name, string_agg(b.word, ' ' order by b.k) as cand, count(*) as m, any_value(a.n) as n, min(b.share) as share from r a join r z on z.name = a.name and z.k >= a.k join r b on b.name = a.name and b.k between a.k and z.k group by a.name, a.k, z.k)"""
+
+
+@query(f"with {_NAME_WORDS} select name, cand as candidate from c where m > 1 or n = 1 or share <= 0.02 group by all")
+def entity_candidates(t):
+    names = t("part").select(F.col("p_name").alias("name"))
+    found = M.name_candidates(names, M.token_shares(names, "name"))
+    return found.select("name", F.explode("candidates").alias("candidate"))
+
+
 @query()
 def fuzzy_mask(t):
     return t("fx_products").select("ord", M.fuzzy_mask(F.col("features"), F.array("title", "brand")).alias("masked"))
@@ -387,8 +491,8 @@ _BM25 = f"""with d as (select doc_id, {_BM} as w from documents), q as (select i
  i as (select term, ln(n - df + 0.5) - ln(df + 0.5) as raw from f, tot), i2 as (select term, case when raw < 0 then 0.25 * (select avg(raw) from i) else raw end as idf from i),
  qt as (select item_id, term, count(*) as qtf from (select item_id, unnest(w) as term from q) group by item_id, term),
  scores as (select qt.item_id as query_id, p.doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))::double as score from qt join i2 using (term) join p using (term), tot group by 1, 2)"""
-_TFIDF = r"""with dt as (select doc_id as id, term, count(*) as tf from (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) as term from documents) group by 1, 2),
- qt as (select item_id as id, term, count(*) as tf from (select item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) as term from benchmark) group by 1, 2),
+_TFIDF = r"""with dt as (select doc_id as id, term, count(*) as tf from (select doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}_]+')) as term from documents) group by 1, 2),
+ qt as (select item_id as id, term, count(*) as tf from (select item_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}_]+')) as term from benchmark) group by 1, 2),
  n as (select count(*) as n from documents), i as (select term, ln((1 + n) / (1 + df)) + 1 as idf from (select term, count(*) as df from dt group by term), n where df <= 0.95 * n),
  dw as (select id, term, (1 + ln(tf)) * idf as w from dt join i using (term)), qw as (select id, term, (1 + ln(tf)) * idf as w from qt join i using (term)),
  dn as (select id, sqrt(sum(w * w)) as norm from dw group by id), qn as (select id, sqrt(sum(w * w)) as norm from qw group by id),
@@ -489,22 +593,74 @@ def asset_dedup(t):
     return first_wins(t("fx_manifest").select("ord", "url", "type"), ["type", "url"])
 
 
-both("asset_unnest", "select ord, 'thumb' as resolution, concat('http://x/', product_id, '/thumb.png') as url from fx_products union all select ord, 'large' as resolution, concat('http://x/', product_id, '/large.png') as url from fx_products union all select ord, 'hi_res' as resolution, concat('http://x/', product_id, '/hi_res.png') as url from fx_products where ord % 2 = 0")
+@query("select ord, product_id, 'product_image' as type, 'thumb' as subtype, concat('http://x/', product_id, '/thumb.png') as url from fx_products union all select ord, product_id, 'product_image', 'large', concat('http://x/', product_id, '/large.png') from fx_products union all select ord, product_id, 'product_image', 'hi_res', concat('http://x/', product_id, '/hi_res.png') from fx_products where ord % 2 = 0")
+def asset_unnest(t):
+    url = lambda s: F.concat(F.lit("http://x/"), "product_id", F.lit(f"/{s}.png"))
+    image = F.struct(url("thumb").alias("thumb"), url("large").alias("large"), F.when(F.col("ord") % 2 == 0, url("hi_res")).otherwise("").alias("hi_res"))
+    return A.product_images(t("fx_products").select("ord", "product_id", F.array(image).alias("images")))
 
 
-@query("select ord, concat('products/', product_id, '/images/', type, '/', split_part(url, '/', -1), '_', sha256(url)[1:8], '.png') as path from fx_manifest")
+@query("""select ord, case type when 'product_image' then 'products/' || product_id || '/images/image/' || n when 'product_video' then 'products/' || product_id || '/videos/' || n else 'patents/UNKNOWN_PATENT/images_unknown/' || n end as path
+ from (select *, split_part(url, '/', -1) || '_' || sha256(url)[1:8] as n from fx_manifest)""")
 def asset_path(t):
-    name = F.element_at(F.split("url", "/"), -1)
-    return t("fx_manifest").select("ord", F.concat(F.lit("products/"), "product_id", F.lit("/images/"), "type", F.lit("/"), X.sanitize(name), F.lit("_"), F.substring(F.sha2(F.col("url").cast("binary"), 256), 1, 8), F.lit(".png")).alias("path"))
+    rows = t("fx_manifest")
+    return rows.select("ord", A.target_path(rows).alias("path"))
+
+
+@query("select ord, url from fx_manifest where url like 'http%'")
+def valid_url(t):
+    return t("fx_manifest").where(A.is_link(F.col("url"))).select("ord", "url")
+
+
+@query("select ord, product_id from fx_products where product_id in (select product_id from fx_manifest)")
+def has_assets(t):
+    return A.with_assets(t("fx_products"), t("fx_manifest")).select("ord", "product_id")
+
+
+@query("select ord, product_id from fx_products where product_id not in (select product_id from fx_manifest)")
+def resume_anti(t):
+    return A.with_assets(t("fx_products"), t("fx_manifest"), present=False).select("ord", "product_id")
+
+
+@query("select type, url, product_id, min(ord) as ord from fx_manifest where type <> 'patent_image' group by all union all select type, url, arg_min(product_id, ord), min(ord) from fx_manifest where type = 'patent_image' group by type, url")
+def asset_keys(t):
+    return A.distinct_assets(t("fx_manifest")).select("type", "url", "product_id", "ord")
+
+
+@query("select distinct product_id as id, case when u like '%/3' then 'cached ' || u else 'kind of ' || product_id end as value from (select product_id, max(url) as u from fx_manifest group by product_id)")
+def cache_lookup(t):
+    each = t("fx_manifest").groupBy("product_id").agg(F.max("url").alias("u"))
+    cache = each.select(F.col("product_id").alias("id"), F.when(F.col("u").endswith("/3"), F.concat(F.lit("cached "), "u")).alias("value"))
+    return E.lookup(each.select(F.col("product_id").alias("id")), lambda k: f"kind of {k}", cache).select("id", "value")
+
+
+@query("""with p as (select product_id, list_sort(list_distinct(list(url))) as found, list_distinct(list(url || '?size=small') filter (ord % 2 = 0)) as thumbs from fx_manifest group by product_id),
+ n as (select product_id, unnest(found) as u, list_transform(coalesce(thumbs, []), lambda x: split_part(split_part(x, '?', 1), '/', -1)) as names from p)
+ select product_id, u as url, case when list_contains(names, split_part(u, '/', -1)) then 'matched' else 'additional' end as state from n""")
+def hires_match(t):
+    p = t("fx_manifest").groupBy("product_id").agg(F.collect_set("url").alias("found"), F.collect_set(F.when(F.col("ord") % 2 == 0, F.concat("url", F.lit("?size=small")))).alias("thumbs"))
+    m = p.select("product_id", P.match_by_name(F.col("found"), F.col("thumbs")).alias("m"))
+    each = lambda k: m.select("product_id", F.explode(f"m.{k}").alias("url"), F.lit(k).alias("state"))
+    return each("matched").unionByName(each("additional"))
+
+
+_PAGE = """concat('<html><head><title>US', cast(7000000 + p_partkey as STR), 'B2 - ', p_name, '</title><meta name="DC.title" content="', p_name, '"><meta itemprop="priorityDate" content="2001">',
+ '</head><body><dd itemprop="inventor">Ann  One</dd><dd itemprop="inventor">Bob Two</dd><img src="/patent/', cast(p_partkey as STR), '.png"><img src="/logo.png"><div itemprop="abstract"> A <b>', p_type, '</b>\n &amp; more</div>',
+ '<section itemprop="claims"><h2>What is claimed is:</h2><div>1. A ', p_type, ' with a part.<br></div><div>2. The thing of claim 1, of size ', cast(p_size as STR), '</div><div>2. The thing of claim 1, of size ', cast(p_size as STR), '</div><p>unclosed</section></body>')"""
+
+
+@query("""select p_partkey as id, p_name as title, 'Bob Two' as inventor, 'A ' || p_type || ' & more' as abstract, '/patent/' || p_partkey::varchar || '.png' as images, 2::bigint as n_claims, 1 as depends_on, '2. The thing of claim 1, of size ' || p_size::varchar as last from part""")
+def patent_pages(t):
+    pages = t("part").selectExpr("p_partkey as id", f"{_PAGE.replace('STR', 'string')} as html")
+    b, last = F.col("bibliographic"), F.element_at("claims", -1)
+    return P.read_patent_pages(pages).select("id", b["DC.title"].alias("title"), b["inventor"].alias("inventor"), "abstract", F.array_join("images", "|").alias("images"), F.size("claims").cast("long").alias("n_claims"), last["depends_on"].alias("depends_on"), last["text"].alias("last"))
 
 
-both("valid_url", "select ord, url from fx_manifest where url like 'http%'")
-both("has_assets", "select p.ord, p.product_id from fx_products p left semi join fx_manifest m on p.product_id = m.product_id")
-ORACLES["has_assets"] = duck("select ord, product_id from fx_products where product_id in (select product_id from fx_manifest)")
-both("resume_anti", "select p.ord, p.product_id from fx_products p left anti join fx_manifest m on p.product_id = m.product_id")
-ORACLES["resume_anti"] = duck("select ord, product_id from fx_products where product_id not in (select product_id from fx_manifest)")
-both("cache_lookup", "select p.product_id, count(m.url) as cached from fx_products p left join fx_manifest m on p.product_id = m.product_id group by p.product_id")
-both("hires_match", "select a.url, case when b.url is null then 'additional' else 'matched' end as state from (select distinct url from fx_manifest where type = 'product_image') a left join (select distinct url from fx_manifest where type = 'patent_image') b on a.url = b.url")
+@query("select p_partkey as id, case p_partkey % 3 when 0 then 'https://a.example/v.mp4' when 1 then 'https://a.example/' || p_partkey::varchar || '.mp4' end as video from part")
+def page_videos(t):
+    html = """case p_partkey % 3 when 0 then '<meta property="og:video" content="x.webm"><video src="https://a.example/v.mp4"></video>'
+     when 1 then concat('<script type="application/ld+json">{"@type": "VideoObject", "n": [{"contentUrl": "z"}], "contentUrl": "https://a.example/', cast(p_partkey as string), '.mp4"}</script>') else '<p>none</p>' end as html"""
+    return t("part").selectExpr("p_partkey as id", html).select("id", P.find_video("html").alias("video"))
 
 
 @query("select product_id, url from fx_manifest qualify row_number() over (partition by product_id order by (type <> 'patent_image')::int, url, ord) = 1")
