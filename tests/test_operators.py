@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from trovex.functions import citations as C
 from trovex.functions import text as X
+from trovex.operators import assets as A
 from trovex.operators import claims as K
 from trovex.operators import corpus as U
 from trovex.operators import encoders as N2
@@ -281,3 +282,13 @@ def test_passages(spark):
     docs = spark.createDataFrame([(1, "xx the quick brown fox yy"), (2, "the quick  brown fox"), (3, None), (4, "he quick brown fo")], "doc_id long, text string")
     passages = spark.createDataFrame([(7, "e quick brown f"), (8, "quick"), (9, None), (10, "  ")], "item_id long, text string")
     assert sorted(map(tuple, R.passage_matches(docs, passages).collect())) == [(7, 1), (7, 4), (8, 1), (8, 2), (8, 4), (10, 2)]
+
+
+def test_accents_extensions_and_asset_keys(spark):
+    x = spark.range(1).select(X.strip_accents(F.lit("Ünï éß ǆ и̂ Ώ")).alias("a"), X.extension_of(F.lit("http://a/b.PNG?x=1.gif#t")).alias("b"), X.extension_of(F.lit("http://a/b")).alias("c"), X.extension_of_type(F.lit("image/JPEG; q=1"), F.lit("u.png")).alias("d"), X.extension_of_type(F.lit(None).cast("string"), F.lit("u.png")).alias("e")).first()
+    assert x.a == "Uni eß ǆ и Ω" and (x.b, x.c, x.d, x.e) == ("png", "html", "jpg", "png")
+    rows = spark.createDataFrame([(1, "product_image", "p", "large", "u"), (2, "product_image", "p", "thumb", "u"), (3, "product_image", "p", "large", "u"), (4, "other", "q", None, "u"), (5, "other", "r", None, "u")], "ord long, type string, product_id string, subtype string, url string")
+    assert sorted(r.ord for r in A.distinct_assets(rows).collect()) == [1, 2, 4]
+    entries = spark.createDataFrame([("u", True, 1), ("v", False, 2)], "url string, downloaded boolean, ord long")
+    assert [r.url for r in A.failures(entries).collect()] == ["v"]
+    assert [r.ord for r in A.to_fetch(rows, manifest.latest_entries(entries)).collect()] == []
