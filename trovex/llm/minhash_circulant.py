@@ -6,11 +6,11 @@ shift; coordinate k is the least value under shift k. Bands of coordinates are t
 
 Equal sets fall into one class first, so copies never pair with each other. In each bucket all classes are held against
 the one that shares most bucket places with others, its leader; verified links join classes into components. Only where
-a bucket then still spans several components are its other pairs formed, between components alone and where an exact
-bound allows a link: what two classes have in common lies in their leader (less what a mask shows that either
-lacks of it) or outside it, among the shingles that another component holds too. So all links between components that
-banding offers are confirmed on full sets, while a group of thousands of near copies costs a pair for each member, not
-for each two.
+a bucket then still spans several components are its other pairs formed, each in the first such bucket that both share,
+between components alone and where an exact bound allows a link: what two classes have in common lies in their leader
+(less what a mask shows that either lacks of it) or outside it, among the shingles that another component holds too. So
+all links between components that banding offers are confirmed on full sets, while a group of thousands of near copies
+costs a pair for each member, not for each two.
 
 The joins are sort-merge joins at every size: nothing is broadcast that grows with the data.
 
@@ -206,17 +206,20 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     inner = members.groupBy("shingle").agg(F.min("of_node").alias("lo"), F.max("of_node").alias("hi")).where("lo = hi").select("shingle")
     alone = materialize(members.join(inner.hint("merge"), "shingle").groupBy("node").agg(F.count("*").alias("alone")))
     of_lead = alone.select(F.col("node").alias("leader"), F.col("alone").alias("lead_alone"))
-    open_rows = open_rows.join(alone.hint("merge"), "node", "left").join(of_lead.hint("merge"), "leader", "left")
+    # the open buckets of a class; two classes meet in the first that they share, not in each
+    doors = open_rows.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("doors"))
+    open_rows = open_rows.join(alone.hint("merge"), "node", "left").join(doors.hint("merge"), "node").join(of_lead.hint("merge"), "leader", "left")
     alone_out = F.coalesce("alone", F.lit(0)) - F.when(F.col("of_node") == F.col("of_leader"), F.coalesce("lead_alone", F.lit(0))).otherwise(0)
     shared, outside = F.col("n") - F.coalesce("alone", F.lit(0)), F.col("n") - F.col("inter") - F.greatest(F.lit(0), alone_out)
-    open_rows = materialize(open_rows.select("key", "node", "n", "of_node", "leader_n", "inter", *LACKS, shared.alias("shared"), outside.alias("outside")))
-    x = open_rows.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("of_node").alias("ca"), F.col("shared").alias("qa"), F.col("inter").alias("ia"), F.col("outside").alias("ra"), *[F.col(c).alias(f"{c}_a") for c in LACKS], "leader_n")
-    y = open_rows.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("of_node").alias("cb"), F.col("shared").alias("qb"), F.col("inter").alias("ib"), F.col("outside").alias("rb"), *[F.col(c).alias(f"{c}_b") for c in LACKS])
+    open_rows = materialize(open_rows.select("key", "node", "n", "of_node", "leader_n", "inter", *LACKS, "doors", shared.alias("shared"), outside.alias("outside")))
+    x = open_rows.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("of_node").alias("ca"), F.col("shared").alias("qa"), F.col("inter").alias("ia"), F.col("outside").alias("ra"), F.col("doors").alias("da"), *[F.col(c).alias(f"{c}_a") for c in LACKS], "leader_n")
+    y = open_rows.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("of_node").alias("cb"), F.col("shared").alias("qb"), F.col("inter").alias("ib"), F.col("outside").alias("rb"), F.col("doors").alias("db"), *[F.col(c).alias(f"{c}_b") for c in LACKS])
     # what two classes have in common lies in their leader, less what either lacks of it, or in both rests outside that other components hold too
     lacked = reduce(add, [F.bit_count(F.col(f"{c}_a").bitwiseOR(F.col(f"{c}_b"))) for c in LACKS])
     common = F.least("qa", "qb", F.least("ia", "ib", F.col("leader_n") - lacked) + F.least("ra", "rb"))
     enough = 100 * common >= percent * (F.col("na") + F.col("nb") - common)
-    more = x.join(y.hint("merge"), (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb")) & enough)
+    here = F.array_min(F.array_intersect("da", "db")) == x["key"]
+    more = x.join(y.hint("merge"), (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb")) & enough & here)
     more = materialize(more.select("a", "b").distinct().join(first.select("a", "b").hint("merge"), ["a", "b"], "left_anti"))
     if more.limit(1).count():
         second = _verify(more, sets, percent).where("linked").select("a", "b")
