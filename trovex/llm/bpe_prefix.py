@@ -28,7 +28,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-from trovex.llm.runtime import ship, ship_file, table, tokenizer_path
+from trovex.llm.runtime import in_worker, ship, ship_file, table, tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
 CACHE_WORDS = 300_000
@@ -241,6 +241,11 @@ def codec(path: str) -> PrefixBpe:
     return _loaded[path]
 
 
+def _kept() -> tuple[dict, ...]:
+    """This module's tables in a worker; a global that a sent function names would be a copy."""
+    return (_loaded,)
+
+
 def little_endian(packed: bytes) -> bytes:
     """Native 32-bit integers as little-endian ones."""
     if sys.byteorder == "little":
@@ -289,7 +294,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None, keep_ids: bool = True,
                 yield pa.RecordBatch.from_pydict(out)
 
     columns = [f"`{f.name}`" for f in fields] + ([] if "text" in carry else ["text"])
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(lambda batches: in_worker("bpe", run, keep=_kept())(batches), schema)
 
 
 def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

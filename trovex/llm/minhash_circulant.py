@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from trovex.llm import textkit as tk
 from trovex.llm.components import components
-from trovex.llm.runtime import materialize, ship, table
+from trovex.llm.runtime import in_worker, materialize, ship, table
 
 ROWS = 4
 BANDS = 25
@@ -130,7 +130,7 @@ def _signed(docs: DataFrame, n: int, rows: int, bands: int) -> DataFrame:
                     names=["doc_id", "row", "n_shingles", "set_a", "set_b", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("row")).mapInArrow(run, "doc_id long, row long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("row")).mapInArrow(lambda batches: in_worker("minhash", run)(batches), "doc_id long, row long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
@@ -145,7 +145,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("row"), "text")
     wanted = keyed.join(nodes.hint("merge"), ["doc", "row"]).select("node", "text")
     # rows equal in doc_id and text come more than once
-    return materialize(wanted.mapInArrow(run, "node long, set array<long>").groupBy("node").agg(F.first("set").alias("set")))
+    return materialize(wanted.mapInArrow(lambda batches: in_worker("minhash", run)(batches), "node long, set array<long>").groupBy("node").agg(F.first("set").alias("set")))
 
 
 def _bits(shingles: Column, word: int) -> Column:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from trovex.llm import textkit as tk
-from trovex.llm.runtime import ship, table
+from trovex.llm.runtime import in_worker, ship, table
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -150,7 +150,7 @@ def suffix_repetition(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered
     import pyspark.sql.types as T
 
     schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in fields), *T._parse_datatype_string(", ".join(extra)).fields])
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lambda batches: in_worker("quality", run, drop=(tk._powers,))(batches), schema)
 
 
 def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
