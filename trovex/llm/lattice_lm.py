@@ -8,6 +8,12 @@ has a segmentation. From the training texts come the word counts of the base sco
 ``em_rounds`` re-estimates the piece weights from the training words by expectation-maximisation (forward-backward over
 all segmentations) and adds the score under those weights as ``em_score``; the query leaves that out.
 
+With ``word_rounds`` every training word is a piece of its own as well, an arc over the whole word, with the share of its
+count less a discount; the discounts go to the segmentations into the vocabulary's pieces, whose weights are re-estimated
+in so many rounds from the distinct training words, each once, as they stand for the words not met yet. That is a
+distribution over words as before: a frequent word does not pay for being spelled, an unknown one still can be. The query
+scores so, by two rounds; the vocabulary's weights alone know nothing of the corpus.
+
 Texts are cut into chunks of a bounded number of tokens. Each distinct word of a chunk goes to the word table once, with
 its training count; there a word is counted and scored once for the whole corpus, and its values go back, by a 64-bit
 hash of the word, to the chunks that hold it, where the texts' sums are made from the chunk's own numbering. So texts
@@ -45,6 +51,17 @@ LONG = 48
 #: The file scores pieces that no merge makes with minus a milliard; they count as the lowest of the others.
 NO_SCORE = -1e8
 LN10 = math.log(10)
+WORD_ROUNDS = 2
+
+
+def _with_words(lattice: np.ndarray, count: np.ndarray, words: int, total: int, discount: float) -> np.ndarray:
+    """Log probabilities of words that are pieces of their own beside their segmentations, from the log marginals ``lattice``
+    and training counts: of ``total`` training words each of the ``words`` distinct ones leaves ``discount`` to the lattice."""
+    if not total:
+        return lattice
+    own = np.full(len(count), -np.inf)
+    np.log(count - discount, out=own, where=count > discount)
+    return np.logaddexp(own, math.log(discount * words) + lattice) - math.log(total)
 
 
 class Pieces:
@@ -185,7 +202,7 @@ def expected_counts(words: list[bytes], count: np.ndarray, pieces: Pieces) -> np
             for start, r, piece in arcs[stop]:
                 via = pieces.logp[piece] + beta[stop, r]
                 beta[start, r] = np.logaddexp(beta[start, r], via)
-                total += np.bincount(piece, np.exp(alpha[start, r] + via - alpha[-1, r]) * weight[r], len(total))
+                np.add.at(total, piece, np.exp(alpha[start, r] + via - alpha[-1, r]) * weight[r])
     for i, w in enumerate(words):
         if len(w) > LONG:
             _long_counts(MARK + w, count[i], pieces, total)
@@ -278,25 +295,34 @@ def _learn(words: DataFrame, pieces: Pieces, rounds: int, prior: float = 1000.0)
     return pieces
 
 
-def lattice_scores(docs: DataFrame, path: str | None = None, temperature: float = TEMPERATURE, em_rounds: int = 0, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+def lattice_scores(docs: DataFrame, path: str | None = None, temperature: float = TEMPERATURE, em_rounds: int = 0, chunk_tokens: int = CHUNK_TOKENS, word_rounds: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (and em_score, if ``em_rounds``) for each row of ``docs`` (doc_id, text)."""
     ship(docs.sparkSession)
     models = [Pieces.load(path or tokenizer_path(VOCABULARY), temperature)]
     chunks = _chunked(docs, chunk_tokens)
     cells = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "learned")).alias("at", "w")).select("chunk", "at", F.col("w.words").alias("word"), F.col("w.learned").alias("learned"))
     counted = materialize(cells.groupBy("word").agg(F.sum("learned").alias("c")))
-    whole = counted.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.sum(F.when(F.col("word") == F.lit(END), F.col("c"))).alias("ends")).first()
-    n, v, ends = (int(whole[k] or 0) for k in ("n", "v", "ends"))
+    of_words = [F.count_if((F.col("c") == k) & (F.col("word") != F.lit(END))).alias(name) for k, name in ((1, "once"), (2, "twice"))]
+    whole = counted.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.sum(F.when(F.col("word") == F.lit(END), F.col("c"))).alias("ends"), *of_words).first()
+    n, v, ends, once, twice = (int(whole[k] or 0) for k in ("n", "v", "ends", "once", "twice"))
     stop = (ends + 0.5) / (n + 1)  # the probability that a token is an end
     if em_rounds:
         models.append(_learn(counted, models[0], em_rounds))
+    distinct, discount = v - (ends > 0), once / (once + 2 * twice) if once else 0.5
+    by_word = word_rounds is not None
+    if by_word:
+        models[0] = _learn(counted.where((F.col("c") > 0) & (F.col("word") != F.lit(END))).select("word", F.lit(1).cast("long").alias("c")), models[0], word_rounds)
     names = ["model", "em"][: len(models)]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = batch.column(0).to_pylist()
             stops = np.array([math.log(stop if w == END else 1 - stop) for w in words])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array((log_marginals(words, m) + stops) / LN10) for m in models]], names=["word", "c", *names])
+            found = [log_marginals(words, m) for m in models]
+            if by_word:
+                inner = np.array([w != END for w in words], bool)
+                found[0][inner] = _with_words(found[0][inner], batch.column(1).to_numpy()[inner], distinct, n - ends, discount)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array((x + stops) / LN10) for x in found]], names=["word", "c", *names])
 
     scored = counted.mapInArrow(score, "word binary, c long, " + ", ".join(f"{x} double" for x in names))
     values = cells.select("chunk", "at", F.xxhash64("word").alias("h")).join(scored.select(F.xxhash64("word").alias("h"), "c", *names), "h").select(F.col("chunk").alias("of_chunk"), "at", "c", *names)
@@ -321,4 +347,4 @@ def lattice_scores(docs: DataFrame, path: str | None = None, temperature: float
 
 
 def op9_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice_scores(table(spark, sf_dir, "documents"))
+    return lattice_scores(table(spark, sf_dir, "documents"), word_rounds=WORD_ROUNDS)
