@@ -62,3 +62,10 @@ def test_dense_odd_vectors(spark):
     assert got == {2: None, 3: None, 4: None, 5: 1.0, 6: None}
     assert [r.doc_id for r in R.dense_top(docs.where("id = 1"), docs, 3).orderBy("rank").collect()] == [5, 2, 3]
     assert R.dense(docs.where("id = 0"), docs).count() == 0
+
+
+def test_small_tables_of_costly_rows_use_all_cores(spark):
+    from trovex.plans import registry
+
+    for name in ("patent_pages", "page_videos", "fuzzy_mask"):
+        assert registry.queries()[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

@@ -1,4 +1,4 @@
-"""First-wins and last-wins under an explicit, unique order column; never dropDuplicates, whose survivor is arbitrary."""
+"""First-wins and last-wins under an explicit, unique order column, never dropDuplicates, whose survivor is arbitrary; dealing rows out."""
 
 from __future__ import annotations
 
@@ -20,3 +20,8 @@ def first_wins(df: DataFrame, keys: list[str], order: str | Column = "ord") -> D
 def last_wins(df: DataFrame, keys: list[str], order: str | Column = "ord") -> DataFrame:
     by = F.col(order) if isinstance(order, str) else order
     return _pick(df, keys, lambda r: F.max_by(r, by))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out over all cores, for rows that are small but cost much: the files of a small table are one or two tasks."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
