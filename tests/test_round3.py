@@ -69,3 +69,18 @@ def test_small_tables_of_costly_rows_use_all_cores(spark):
 
     for name in ("patent_pages", "page_videos", "fuzzy_mask"):
         assert registry.queries()[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_lexical_pairs_do_not_become_joined_rows(spark):
+    docs = spark.createDataFrame([(i, f"common words w{i}") for i in range(50)] + [(None, "common null"), (77, None)], "doc_id long, text string")
+    asks = spark.createDataFrame([(i, f"common w{i}") for i in range(20)] + [(90, "absent")], "item_id long, text string")
+    v = R.bm25(asks, docs, "item_id", "doc_id")
+    rows = v.scores().collect()
+    # a document without an id is a row, one without a common word is none
+    assert len(rows) == 20 * 51 and {r.query_id for r in rows} == set(range(20)) and sum(r.doc_id is None for r in rows) == 20
+    assert v.docs.count() == 51  # postings travel once a document, not once a query
+    top = {(r.query_id, r["rank"]): r.doc_id for r in v.top(1).collect()}
+    assert top == {(i, 1): i for i in range(20)}
+    m = v.metrics(spark.createDataFrame([(0, 0), (1, 5), (90, 3)], "query_id long, doc_id long"), (10,)).first()
+    place = {r.doc_id: r["rank"] for r in R.ranked(v.scores()).where("query_id = 1 and doc_id is not null").collect()}
+    assert m.mrr == pytest.approx((1 + 1 / place[5] + 0) / 3)
