@@ -84,3 +84,16 @@ def test_lexical_pairs_do_not_become_joined_rows(spark):
     m = v.metrics(spark.createDataFrame([(0, 0), (1, 5), (90, 3)], "query_id long, doc_id long"), (10,)).first()
     place = {r.doc_id: r["rank"] for r in R.ranked(v.scores()).where("query_id = 1 and doc_id is not null").collect()}
     assert m.mrr == pytest.approx((1 + 1 / place[5] + 0) / 3)
+
+
+def test_tokens_need_no_pattern(spark):
+    import re
+    import string
+
+    from trovex.functions.text import bm25_tokens
+
+    odd = ["", " \t\n\x0b\x0c\r", string.printable, "A-b c_D e f, g", "É'tat «x» 漢字.", "a" * 3 + "\t\tb\r\n" + string.punctuation]
+    got = spark.createDataFrame([(x,) for x in odd], "t string").select("t", bm25_tokens(F.col("t")).alias("w")).collect()
+    for t, w in got:
+        assert w == [x for x in re.split("[ \t\n\x0b\x0c\r]+", "".join(c for c in t.lower() if c not in string.punctuation)) if x]
+    assert "regexp" not in spark.range(1).select(bm25_tokens(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
